@@ -85,15 +85,17 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[Iter
     return source.mapInArrow(run, schema)
 
 
-def hot_lookup(big: DataFrame, small: DataFrame, key: str, n_big: int, share: float = 1 / 2000, how: str = "left") -> DataFrame:
+def hot_lookup(big: DataFrame, small: DataFrame, key: str, n_big: int, share: float = 1 / 2000, how: str = "left", hot: list | None = None) -> DataFrame:
     """``big`` joined with ``small`` (unique in ``key``) on ``key``, safe against hot keys.
 
     Keys that hold more than ``share`` of the ``n_big`` rows of ``big`` number
     at most ``1 / share``, so their rows of ``small`` are broadcast; the other
-    keys go through an ordinary shuffled join in which no key is hot.
+    keys go through an ordinary shuffled join in which no key is hot. ``hot``:
+    those keys, where the caller knows them.
     """
     least = max(64, int(n_big * share))
-    hot = [r[0] for r in big.groupBy(key).count().where((F.col("count") > least) & F.col(key).isNotNull()).select(key).collect()]
+    if hot is None:
+        hot = [r[0] for r in big.groupBy(key).count().where((F.col("count") > least) & F.col(key).isNotNull()).select(key).collect()]
     if not hot:
         return big.join(small, key, how)
     flags = big.sparkSession.createDataFrame([(h,) for h in hot], T.StructType([T.StructField(key, big.schema[key].dataType)]))
