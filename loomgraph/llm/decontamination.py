@@ -22,28 +22,44 @@ WINDOW = 6
 LITERALS = 4
 #: Longer items are verified as passages of this many tokens that overlap by half.
 PASSAGE = 64
-#: Tokens of a document that are handled as one row.
-SEGMENT = 240
 #: Share of a passage's tokens that must match in place.
 MATCH = 0.6
-#: Benchmarks with more windows than this are joined by a shuffle, not a broadcast.
-BROADCAST_ROWS = 500_000
+#: A table of more rows than this is joined by a shuffle, not a broadcast.
+BROADCAST_ROWS = 200_000
+
+#: Punctuation that separates tokens; stops stay until sentences have been told apart.
+_MARKS = ",;:()[]{}\"|*&%$#@-_/\\<>=+~^`«»“”„…–—¿¡\n\t\r\x0b\x0c"
 
 # Units that become placeholders after a number.
 UNITS = "mm cm m km in ft yd mi mg g kg t oz lb lbs ml l s sec min h hr hrs hour hours minute minutes second seconds day days week weeks month months year years percent dollar dollars euro euros usd eur cents kmh mph hz khz mhz ghz w kw v a j kj cal kcal c f k".split()
 
 
-def raw_tokens(text: Column) -> Column:
-    """Lower-case tokens joined by spaces; names carry a leading control character."""
-    named = F.regexp_replace(text, r"(?<=[^.!?\s]\s)(\p{Lu}\p{Ll}+)", "\u0001$1")
-    return F.trim(F.regexp_replace(F.lower(named), "[^\\p{L}\\p{M}\\p{N}\u0001]+", " "))
+def tokens_of(text: Column) -> Column:
+    """Tokens as they stand, stops included."""
+    return F.filter(F.split(F.translate(text, _MARKS, " " * len(_MARKS)), " "), lambda x: x != "")
+
+
+def plain(token: Column) -> Column:
+    return F.rtrim(F.lower(token), F.lit(".!?"))
+
+
+def template(tokens: Column) -> Column:
+    """For each token its placeholder, or the token in lower case without stops."""
 
+    def one(x: Column, i: Column) -> Column:
+        low = F.lower(x)
+        before = F.get(tokens, i - 1)
+        mid = (i > 0) & ~(before.endswith(".") | before.endswith("!") | before.endswith("?"))
+        capital = (F.substring(x, 1, 1) != F.substring(low, 1, 1)) & (F.substring(x, 2, 1) == F.substring(low, 2, 1))
+        number = (x >= "0") & (x < ":")
+        return (
+            F.when(number, "<num>")
+            .when((x != low) & mid & capital, "<name>")
+            .when(low.isin(UNITS) & (i > 0) & (before >= "0") & (before < ":"), "<unit>")
+            .otherwise(F.rtrim(low, F.lit(".!?")))
+        )
 
-def template(raw: Column) -> Column:
-    """Placeholders for the tokens of ``raw``, one for one."""
-    names = F.regexp_replace(raw, "(^| )\u0001[^ ]*", "$1<name>")
-    numbers = F.regexp_replace(names, r"(^| )\p{N}[^ ]*", "$1<num>")
-    return F.regexp_replace(numbers, rf"(?<=<num> )({'|'.join(UNITS)})(?= |$)", "<unit>")
+    return F.transform(tokens, one)
 
 
 def window_hash(tokens: Column, start: Column) -> Column:
@@ -53,8 +69,7 @@ def window_hash(tokens: Column, start: Column) -> Column:
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """(hash, q, item_id, p_raw, p_template): each window with its position q in its passage. Items of fewer than WINDOW tokens have none."""
-    items = benchmark.select("item_id", raw_tokens(text_of()).alias("raw"))
-    items = items.select("item_id", F.split("raw", " ").alias("raw"), F.split(template(F.col("raw")), " ").alias("template")).where(F.size("raw") >= WINDOW)
+    items = benchmark.select("item_id", tokens_of(text_of()).alias("raw")).withColumn("template", template(F.col("raw"))).where(F.size("raw") >= WINDOW)
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("raw") - PASSAGE // 2 - 1), F.lit(PASSAGE // 2))
     passages = items.withColumn("at", F.explode(starts)).select("item_id", F.slice("raw", F.col("at") + 1, PASSAGE).alias("p_raw"), F.slice("template", F.col("at") + 1, PASSAGE).alias("p_template"))
     passages = passages.where(F.size("p_raw") >= WINDOW)
@@ -68,36 +83,34 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, match: float = MAT
     windows = materialize(benchmark_windows(benchmark))
     if windows.count() <= BROADCAST_ROWS:
         windows = F.broadcast(windows)
-    tokens = docs.select(F.xxhash64(text_of()).alias("text_hash"), raw_tokens(text_of()).alias("raw"))
-    tokens = tokens.select("text_hash", F.split("raw", " ").alias("raw"), F.split(template(F.col("raw")), " ").alias("template")).where(F.size("raw") >= WINDOW)
-    # a segment: its windows' hashes, and its tokens with a passage's length around them
-    segments = F.transform(
-        F.sequence(F.lit(0), F.size("raw") - WINDOW, F.lit(SEGMENT)),
-        lambda s: F.struct(
-            F.least(s, F.lit(PASSAGE)).alias("before"),
-            F.slice("raw", F.greatest(F.lit(0), s - PASSAGE) + 1, F.least(s, F.lit(PASSAGE)) + SEGMENT + PASSAGE).alias("raw"),
-            F.transform(F.sequence(F.lit(0), F.least(F.lit(SEGMENT - WINDOW), F.size("raw") - WINDOW - s), F.lit(WINDOW)), lambda w: window_hash(F.col("template"), s + w)).alias("hashes"),
-        ),
-    )
-    segment = tokens.select("text_hash", F.explode(segments).alias("x")).select("text_hash", "x.before", F.col("x.raw").alias("d_raw"), "x.hashes")
-    probes = segment.select("text_hash", "before", "d_raw", F.posexplode("hashes").alias("w", "hash"))
-    met = probes.join(windows, "hash").withColumn("shift", F.col("before") + F.col("w") * WINDOW - F.col("q"))
-    met = met.withColumn("d_template", F.split(template(F.array_join("d_raw", " ")), " "))
-    laid = F.transform(
-        F.sequence(F.lit(0), F.size("p_raw") - 1),
-        lambda j: F.struct(
-            (F.get("d_template", F.col("shift") + j) == F.get("p_template", j)).alias("same"),
-            F.get("p_template", j).startswith("<").alias("slot"),
-            F.get("p_raw", j).alias("p"),
-            F.get("d_raw", F.col("shift") + j).alias("d"),
-        ),
-    )
-    met = met.withColumn("laid", F.filter(laid, lambda x: x["same"]))
-    met = met.withColumn("score", F.size("laid") / F.size("p_raw")).where(F.col("score") >= match)
-    slots = F.filter("laid", lambda x: x["slot"])
-    pairs = F.array_distinct(F.transform(slots, lambda x: F.struct(x["p"], x["d"])))
-    met = met.where(F.size(pairs) == F.size(F.array_distinct(F.transform(slots, lambda x: x["p"]))))
-    return met.groupBy("text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("score").alias("score"))
+    tokens = docs.select(F.xxhash64(text_of()).alias("text_hash"), tokens_of(text_of()).alias("raw")).withColumn("template", template(F.col("raw")))
+    hashes = F.when(F.size("template") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("template") - WINDOW, F.lit(WINDOW)), lambda w: window_hash(F.col("template"), w)))
+    # outer, since the inner form would compute the hashes twice, to test that there are some
+    probes = tokens.select("text_hash", F.posexplode_outer(hashes).alias("w", "hash"))
+    shift = (F.col("w") * WINDOW - F.col("q")).alias("shift")
+    met = probes.join(windows, "hash").select("text_hash", "item_id", "p_raw", "p_template", shift).distinct()
+    hits = materialize(met.groupBy("text_hash").agg(F.collect_list(F.struct("item_id", "p_raw", "p_template", "shift")).alias("hits")))
+    if hits.count() <= BROADCAST_ROWS // 10:
+        hits = F.broadcast(hits)
+    back = docs.select(F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text")).join(hits, "text_hash")
+    back = back.select("text_hash", "hits", tokens_of(F.col("text")).alias("raw")).withColumn("template", template(F.col("raw")))
+
+    def laid(h: Column) -> Column:
+        def place(t: Column, j: Column) -> Column:
+            return F.struct(
+                F.coalesce(F.get("template", h["shift"] + j) == t, F.lit(False)).alias("same"),
+                t.startswith("<").alias("slot"),
+                plain(F.get(h["p_raw"], j)).alias("p"),
+                plain(F.get("raw", h["shift"] + j)).alias("d"),
+            )
+
+        return F.filter(F.transform(h["p_template"], place), lambda x: x["same"])
+
+    rows = back.select("text_hash", F.explode_outer(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), F.size(h["p_raw"]).alias("n"), laid(h).alias("laid")))).alias("x"))
+    rows = rows.select("text_hash", "x.item_id", (F.size("x.laid") / F.col("x.n")).alias("score"), F.filter("x.laid", lambda x: x["slot"]).alias("slots")).where(F.col("score") >= match)
+    pairs = F.array_distinct(F.transform("slots", lambda x: F.struct(x["p"], x["d"])))
+    rows = rows.where(F.size(pairs) == F.size(F.array_distinct(F.transform("slots", lambda x: x["p"]))))
+    return rows.groupBy("text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("score").alias("score"))
 
 
 def flag_documents(docs: DataFrame, benchmark: DataFrame, match: float = MATCH) -> DataFrame:
