@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, crc_of_id, materialize, table, text_of
 
 CLASSES, DIM = 768, 24
+#: Pseudo-counts of the class unigram in each context, so rare contexts learn no noise.
+PRIOR = 40.0
 #: Most frequent tokens that every task holds with their counts.
 HEAD = 50_000
 #: Distinct words that a task counts before it hands its counts on.
@@ -102,9 +104,9 @@ def train_bilinear(bigrams: np.ndarray, dim: int = DIM, noise: int = 10, rounds:
     size = len(bigrams)
     rng = np.random.default_rng(seed)
     total = max(1.0, bigrams.sum())
-    joint = bigrams / total
-    context = joint.sum(1)
     unigram = (bigrams.sum(0) + 1) / (total + size)
+    joint = (bigrams + PRIOR * unigram[None]) / (total + PRIOR * size)
+    context = joint.sum(1)
     log_noise = np.log(noise * unigram)
     q, r, bias = rng.normal(0, 0.1, (size, dim)), rng.normal(0, 0.1, (size, dim)), np.log(unigram)
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in (q, r, bias)]

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table, text_of
 
-STEP, SECTION = 160, 8
+STEP, SECTION = 24, 8
 _LEAF = re.compile(r"[^.!?|]+[.!?|]*\s*|[.!?|]+\s*")
 
 
