@@ -20,6 +20,8 @@ from .common import add_columns, crc_of_id, table
 from .training import labelled_sample
 
 WINDOW, BUCKETS, DIM = 24, 1 << 17, 8
+#: Documents at which an n-gram's log odds count half at the start of training.
+START_SHRINK = 10.0
 #: Labelled rows of each class that training reads at most.
 SAMPLE_PER_CLASS = 1200
 
@@ -78,7 +80,7 @@ class Model:
 
 
 def train(sample: list[tuple[str, int]], epochs: int = 14, seed: int = 5) -> Model:
-    """AdaGrad on embeddings and softmax together. First all windows carry the document's label, then each document's most toxic one."""
+    """AdaGrad on embeddings and softmax together, on the windows that the model finds most toxic in each document."""
     if not sample:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     rng = np.random.default_rng(seed)
@@ -97,23 +99,27 @@ def train(sample: list[tuple[str, int]], epochs: int = 14, seed: int = 5) -> Mod
     doc_of = np.repeat(np.arange(len(label)), np.diff(first))
     begin = np.searchsorted(w, np.arange(n + 1))
     size = np.maximum(np.diff(begin), 1)
-    # an n-gram that training never meets weighs nothing
-    emb = np.zeros((BUCKETS, DIM), np.float32)
     soft = np.zeros((2, DIM), np.float32)
     soft[1] = rng.normal(0, 0.5, DIM)
     bias = np.zeros(2, np.float32)
+    # start: the n-grams' log odds between toxic and clean documents, shrunk where few hold them,
+    # so the first windows chosen make sense; an n-gram that training never meets weighs nothing
+    held = np.unique(doc_of[w].astype(np.int64) * BUCKETS + g)
+    ones = np.bincount(held % BUCKETS, weights=y_doc[held // BUCKETS], minlength=BUCKETS)
+    both = np.bincount(held % BUCKETS, minlength=BUCKETS)
+    rate = [(c + 0.5) / (n_ + 1.0) for c, n_ in ((ones, (y_doc == 1).sum()), (both - ones, (y_doc == 0).sum()))]
+    odds = np.log(rate[0] / rate[1]) * (both / (both + START_SHRINK)) if 0 < y_doc.sum() < len(y_doc) else np.zeros(BUCKETS)
+    apart = soft[1] - soft[0]
+    emb = (4 * odds[:, None] * apart / (apart @ apart)).astype(np.float32)
     seen_e, seen_s, seen_b = np.full(BUCKETS, 1e-6, np.float32), np.full((2, DIM), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     share = np.array([0.5 / max(1, (y_doc == 0).sum()), 0.5 / max(1, (y_doc == 1).sum())]) * len(y_doc)
-    for epoch in range(epochs):
+    for _ in range(epochs):
         flat = emb @ (soft[1] - soft[0])
         logit = np.add.reduceat(np.append(flat[g], 0), np.minimum(begin[:-1], len(g))) * (np.diff(begin) > 0) / size
-        if epoch < 2:
-            chosen = np.flatnonzero(rng.random(n) < min(1.0, 20_000 / n))
-        else:
-            # the most toxic window of every document, and a second one of clean documents
-            by = np.lexsort((-logit, doc_of))
-            place = np.arange(n) - np.array(first[:-1])[doc_of[by]]
-            chosen = by[(place == 0) | (place < 4) & (y_doc[doc_of[by]] == 0)]
+        # the most toxic window of every document, and three more of clean documents
+        by = np.lexsort((-logit, doc_of))
+        place = np.arange(n) - np.array(first[:-1])[doc_of[by]]
+        chosen = by[(place == 0) | (place < 4) & (y_doc[doc_of[by]] == 0)]
         chosen = rng.permutation(chosen)
         for at in range(0, len(chosen), 256):
             own = chosen[at : at + 256]
