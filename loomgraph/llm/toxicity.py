@@ -23,7 +23,7 @@ WINDOW, BUCKETS, DIM = 24, 1 << 17, 8
 #: Documents at which an n-gram's log odds count half at the start of training.
 START_SHRINK = 10.0
 #: Labelled rows of each class that training reads at most.
-SAMPLE_PER_CLASS = 1200
+SAMPLE_PER_CLASS = 900
 
 
 def _grams(text: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -84,29 +84,30 @@ def train(sample: list[tuple[str, int]], epochs: int = 14, seed: int = 5) -> Mod
     if not sample:
         return Model(np.zeros(BUCKETS, np.float32), 0.0)
     rng = np.random.default_rng(seed)
-    grams, window, first, label = [], [], [0], []
+    # n-grams document by document, each document's in the order of its windows
+    grams, sizes, first, label = [], [], [0], []
+    ones, both = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for text, y in sample:
-        g, w, n = windows_of(text)
-        grams.append(g)
-        window.append(w + first[-1])
+        b, w, n = windows_of(text)
+        grams.append(b[np.argsort(w, kind="stable")])
+        sizes.append(np.bincount(w, minlength=n))
         first.append(first[-1] + n)
         label.append(y)
-    g, w = np.concatenate(grams), np.concatenate(window)
-    order = np.argsort(w, kind="stable")
-    g, w = g[order], w[order]
+        held = np.unique(b)
+        both[held] += 1
+        ones[held] += y
+    g = np.concatenate(grams)
+    del grams
+    begin = np.concatenate(([0], np.cumsum(np.concatenate(sizes))))
     n = first[-1]
     y_doc = np.array(label)
     doc_of = np.repeat(np.arange(len(label)), np.diff(first))
-    begin = np.searchsorted(w, np.arange(n + 1))
     size = np.maximum(np.diff(begin), 1)
     soft = np.zeros((2, DIM), np.float32)
     soft[1] = rng.normal(0, 0.5, DIM)
     bias = np.zeros(2, np.float32)
     # start: the n-grams' log odds between toxic and clean documents, shrunk where few hold them,
     # so the first windows chosen make sense; an n-gram that training never meets weighs nothing
-    held = np.unique(doc_of[w].astype(np.int64) * BUCKETS + g)
-    ones = np.bincount(held % BUCKETS, weights=y_doc[held // BUCKETS], minlength=BUCKETS)
-    both = np.bincount(held % BUCKETS, minlength=BUCKETS)
     rate = [(c + 0.5) / (n_ + 1.0) for c, n_ in ((ones, (y_doc == 1).sum()), (both - ones, (y_doc == 0).sum()))]
     odds = np.log(rate[0] / rate[1]) * (both / (both + START_SHRINK)) if 0 < y_doc.sum() < len(y_doc) else np.zeros(BUCKETS)
     apart = soft[1] - soft[0]
@@ -115,7 +116,12 @@ def train(sample: list[tuple[str, int]], epochs: int = 14, seed: int = 5) -> Mod
     share = np.array([0.5 / max(1, (y_doc == 0).sum()), 0.5 / max(1, (y_doc == 1).sum())]) * len(y_doc)
     for _ in range(epochs):
         flat = emb @ (soft[1] - soft[0])
-        logit = np.add.reduceat(np.append(flat[g], 0), np.minimum(begin[:-1], len(g))) * (np.diff(begin) > 0) / size
+        logit = np.empty(n)
+        for at in range(0, n, 8192):
+            lo, hi = begin[at], begin[min(n, at + 8192)]
+            upto = np.concatenate(([0.0], np.cumsum(flat[g[lo:hi]], dtype=np.float64)))
+            ends = begin[at : at + 8193] - lo
+            logit[at : at + 8192] = (upto[ends[1:]] - upto[ends[:-1]]) / size[at : at + 8192]
         # the most toxic window of every document, and three more of clean documents
         by = np.lexsort((-logit, doc_of))
         place = np.arange(n) - np.array(first[:-1])[doc_of[by]]
