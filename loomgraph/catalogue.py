@@ -481,3 +481,6 @@ def missed_companions(spark, sf):
 def mermaid_edges(spark, sf):
     g = B.nation_graph(spark, sf)
     return g.select(F.concat(F.lit("  n"), F.col("src"), F.lit(" -->|"), F.col("n"), F.lit("| n"), F.col("dst")).alias("line"))
+
+
+from loomgraph import catalogue_reviews  # noqa: E402, F401  registers its queries here

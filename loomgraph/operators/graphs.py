@@ -64,11 +64,38 @@ def shortest_paths(edges: DataFrame, start: int, goal: int, max_paths: int = 5,
     row = dist.where(F.col("node") == goal).first()
     if row is None or row.distance == 0:
         return spark.createDataFrame([], "path array<bigint>")
-    paths = spark.createDataFrame([([goal],)], "path array<bigint>")
+    # edges from which the goal can still be reached, so every prefix ends at the goal
+    back = on.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    useful = reachable(back, spark.createDataFrame([(goal,)], "start long"), max_depth).select(F.col("node").alias("dst"))
+    on = cut(on.join(useful, "dst", "left_semi").select("src", "dst"))
+    paths = spark.createDataFrame([([start],)], "path array<bigint>")
     for _ in range(row.distance):
-        # backwards, so only chains that end at the goal are kept
-        paths = cut(paths.join(on, F.element_at("path", 1) == F.col("dst")).select(F.concat(F.array("src"), "path").alias("path")).orderBy("path").limit(max(max_paths, 1) * 1000))
-    return paths.orderBy("path").limit(max_paths)
+        # the first k prefixes in order hold the prefixes of the first k chains
+        paths = cut(paths.join(on, F.element_at("path", -1) == F.col("src")).select(F.concat("path", F.array("dst")).alias("path")).orderBy("path").limit(max_paths))
+    return paths.orderBy("path")
+
+
+def shortest_cycles(edges: DataFrame, components: DataFrame, max_depth: int = 1000) -> DataFrame:
+    """(component, path): for each strong component (node, component) a shortest cycle through its smallest node.
+
+    Of equally short ones the first in node order; components without an inner edge have none.
+    """
+    c = components.select("node", "component")
+    inner = edges.join(c.withColumnRenamed("node", "src"), "src").join(c.select(F.col("node").alias("dst"), F.col("component").alias("__c")), "dst").where("component = __c")
+    inner = cut(inner.select("component", "src", "dst").distinct())
+    front = inner.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("path"))
+    seen, found = None, None
+    for _ in range(max_depth):
+        step = front.withColumnRenamed("node", "src").join(inner, ["component", "src"]).select("component", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
+        step = step.groupBy("component", "node").agg(F.min("path").alias("path"))
+        front = cut(step if seen is None else step.join(seen, ["component", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        closed = front.where("node = component").select("component", "path")
+        found = closed if found is None else found.unionByName(closed)
+        front = cut(front.join(found, "component", "left_anti"))
+        seen = cut(front.select("component", "node") if seen is None else seen.unionByName(front.select("component", "node")))
+    return front.select("component", "path") if found is None else found
 
 
 def layers(edges: DataFrame) -> DataFrame:
