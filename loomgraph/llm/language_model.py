@@ -64,6 +64,23 @@ def token_counts(train: DataFrame) -> DataFrame:
     return train.select(text_of().alias("text")).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def head_of(counts: DataFrame, size: int = HEAD) -> list[tuple[bytes, int]]:
+    """The ``size`` most frequent (word, c), by count, then word.
+
+    A histogram of counts (at most 4096 bins and 64 for each doubling above)
+    tells how far down they reach. Words of rarer bins are left out first, and
+    one task merges what is left before the driver sees ``size`` rows.
+    """
+    bin_ = F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor(64 * F.log2(F.col("c") / 4096)))
+    least, reached = 0, 0
+    for b, n in sorted(map(tuple, counts.groupBy(bin_.alias("b")).count().collect()), reverse=True):
+        least, reached = b, reached + n
+        if reached >= size:
+            break
+    top = materialize(counts.where(bin_ >= least).orderBy(F.desc("c"), "word").limit(size))
+    return sorted(((bytes(x.word), x.c) for x in top.collect()), key=lambda x: (-x[1], x[0]))
+
+
 class Classes(dict):
     """Token to class; every other token is class 0."""
 
@@ -150,7 +167,7 @@ def score_documents(docs: DataFrame, train_where=None) -> DataFrame:
     train = docs.where(~held).select("text")
     counts = materialize(token_counts(train))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    head = [(bytes(x.word), x.c) for x in counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()]
+    head = head_of(counts)
     top = [w for w, _ in head[: CLASSES - 2] if w != END]
     classes = {END: 1, **{w: i + 2 for i, w in enumerate(top)}}
     size = len(classes) + 1

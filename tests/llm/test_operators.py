@@ -247,3 +247,12 @@ def test_pipeline(spark, sf, odd):
     assert n > 100
     pieces = corpus_pipeline.pack(spark, docs, sf)
     assert pieces.select("doc_id").distinct().count() == n
+
+
+def test_head_words_are_the_most_frequent(spark):
+    r = np.random.default_rng(4)
+    rows = [(b"w%d" % i, int(c)) for i, c in enumerate(r.choice([1, 2, 3, 5000, 5001, 900_000], 400))]
+    counts = spark.createDataFrame(rows, "word binary, c long").repartition(7)
+    for size in (1, 5, 120, 399, 1000):
+        assert language_model.head_of(counts, size) == sorted(rows, key=lambda x: (-x[1], x[0]))[:size]
+    assert language_model.head_of(counts.limit(0)) == []
