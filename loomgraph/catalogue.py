@@ -434,7 +434,7 @@ def sloc_per_file(spark, sf):
     return B.files(spark, sf).select("path", texts.sloc(F.col("text")).alias("sloc"))
 
 
-@query()
+@query("SELECT doc_id AS path, sha1(encode('blob ' || strlen(text) || chr(0) || text)) AS blob FROM documents")
 def git_blob_hash(spark, sf):
     return B.files(spark, sf).select("path", texts.blob_hash(F.col("text")).alias("blob"))
 
