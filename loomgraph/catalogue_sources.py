@@ -221,3 +221,15 @@ def stream_slices(spark, sf):
     """Daily slices that the watermark has closed."""
     out = activity.run_available(activity.slices(activity.events_stream(spark, sf)), _folder(spark))
     return out.select("path", F.unix_micros("start").alias("start_us"), "n")
+
+
+@query()
+def word_marks(spark, sf):
+    """Names of parts against those of the next part: the ranges of changed words."""
+    from loomgraph.functions.marks import word_marks as marks
+
+    p = B.table(spark, sf, "part").select("p_partkey", "p_name")
+    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("next_name"))
+    m = p.join(after, "p_partkey").select("p_partkey", "p_name", "next_name", marks("p_name", "next_name").alias("m"))
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws("-", x["first"].cast("string"), x["last"].cast("string"))), ",")
+    return m.select(F.col("p_partkey").alias("path"), "p_name", "next_name", text(F.col("m.old")).alias("old"), text(F.col("m.new")).alias("new"))

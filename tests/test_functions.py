@@ -81,3 +81,17 @@ def test_slices_and_sessions(spark, tmp_path):
     assert sorted(r.n for r in got) == [1, 2]
     got = A.run_available(A.sessions(s), str(tmp_path)).collect()
     assert sorted(r.n for r in got) == [1, 2]
+
+
+def test_word_marks(spark):
+    from loomgraph.functions.marks import mark, word_marks
+
+    assert mark("a = foo(1)", "a = bar(1)") == ([(4, 7)], [(4, 7)])
+    assert mark("x", "x y") == ([], [(1, 3)])
+    assert mark("abc", "xyz") is None
+    assert mark("", "") == ([], [])
+    assert mark("a" * 401, "a") is None
+    df = spark.createDataFrame([("a b", "a c"), (None, "x")], "o string, n string")
+    got = [(r.m.old, r.m.new) for r in df.select("o", word_marks("o", "n").alias("m")).collect()]
+    assert [tuple(x) for x in got[0][0]] == [(2, 3)]
+    assert got[1] == (None, None)
