@@ -3,11 +3,15 @@
 Texts are canonicalised: numbers, names (capitalised words within a sentence)
 and units become typed placeholders. Windows of ``WINDOW`` tokens of the
 benchmark, at every position, are hash-joined with windows of the documents, at
-every ``WINDOW``-th position; any passage that shares 2 * WINDOW - 1 tokens in a
-row meets one. A meeting is verified by laying the benchmark passage over the
-document: most of its template tokens must match, and the values in its slots
-must be consistent, the same benchmark value standing for the same document
-value throughout, so a question with new numbers is caught.
+every ``STEP``-th position; any run of WINDOW + STEP - 1 shared tokens meets one.
+A meeting is verified by laying the benchmark passage over the document at each
+shift it met. It holds if ``MATCH`` of its template tokens match in place at one
+shift, or so many lie in runs of ``PART`` tokens over all shifts together, so
+that words put in or left out only break a run; or if ``RUN`` tokens in a row
+match, however long the item is. The values in the slots among these tokens must
+be consistent: of those whose benchmark value repeats, ``CONSISTENT`` must have
+the document value that stands most often for it, so a question with new numbers
+is caught.
 """
 
 from __future__ import annotations
@@ -18,12 +22,20 @@ from pyspark.sql import functions as F
 from .common import materialize, table, text_of
 
 WINDOW = 6
+#: Windows of documents start at every so many tokens.
+STEP = 3
 #: A benchmark window needs so many tokens that aren't placeholders.
 LITERALS = 4
 #: Longer items are verified as passages of this many tokens that overlap by half.
 PASSAGE = 64
 #: Share of a passage's tokens that must match in place.
 MATCH = 0.6
+#: Shifts are put together from runs of so many tokens.
+PART = 4
+#: So many matching tokens in a row are a passage by themselves.
+RUN = 11
+#: Share of the slots with repeated values that must be consistent.
+CONSISTENT = 2 / 3
 #: A table of more rows than this is joined by a shuffle, not a broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -79,38 +91,67 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
 
 def contaminated_texts(docs: DataFrame, benchmark: DataFrame, match: float = MATCH) -> DataFrame:
-    """(text_hash, items, score) for texts that hold a benchmark passage; ``items`` sorted, ``score`` the best share of matching tokens."""
+    """(text_hash, items, score) for texts that hold a benchmark passage; ``items`` sorted, ``score`` the best share of a passage's tokens found."""
     windows = materialize(benchmark_windows(benchmark))
     if windows.count() <= BROADCAST_ROWS:
         windows = F.broadcast(windows)
     tokens = docs.select(F.xxhash64(text_of()).alias("text_hash"), tokens_of(text_of()).alias("raw")).withColumn("template", template(F.col("raw")))
-    hashes = F.when(F.size("template") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("template") - WINDOW, F.lit(WINDOW)), lambda w: window_hash(F.col("template"), w)))
+    hashes = F.when(F.size("template") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("template") - WINDOW, F.lit(STEP)), lambda w: window_hash(F.col("template"), w)))
     # outer, since the inner form would compute the hashes twice, to test that there are some
     probes = tokens.select("text_hash", F.posexplode_outer(hashes).alias("w", "hash"))
-    shift = (F.col("w") * WINDOW - F.col("q")).alias("shift")
-    met = probes.join(windows, "hash").select("text_hash", "item_id", "p_raw", "p_template", shift).distinct()
-    hits = materialize(met.groupBy("text_hash").agg(F.collect_list(F.struct("item_id", "p_raw", "p_template", "shift")).alias("hits")))
+    shift = (F.col("w") * STEP - F.col("q")).alias("shift")
+    met = probes.join(windows, "hash").select("text_hash", "item_id", "p_raw", "p_template", shift)
+    met = met.groupBy("text_hash", "item_id", "p_raw", "p_template").agg(F.collect_set("shift").alias("shifts"))
+    hits = materialize(met.groupBy("text_hash").agg(F.collect_list(F.struct("item_id", "p_raw", "p_template", "shifts")).alias("hits")))
     if hits.count() <= BROADCAST_ROWS // 10:
         hits = F.broadcast(hits)
     back = docs.select(F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text")).join(hits, "text_hash")
     back = back.select("text_hash", "hits", tokens_of(F.col("text")).alias("raw")).withColumn("template", template(F.col("raw")))
-
-    def laid(h: Column) -> Column:
-        def place(t: Column, j: Column) -> Column:
-            return F.struct(
-                F.coalesce(F.get("template", h["shift"] + j) == t, F.lit(False)).alias("same"),
-                t.startswith("<").alias("slot"),
-                plain(F.get(h["p_raw"], j)).alias("p"),
-                plain(F.get("raw", h["shift"] + j)).alias("d"),
-            )
-
-        return F.filter(F.transform(h["p_template"], place), lambda x: x["same"])
-
-    rows = back.select("text_hash", F.explode_outer(F.transform("hits", lambda h: F.struct(h["item_id"].alias("item_id"), F.size(h["p_raw"]).alias("n"), laid(h).alias("laid")))).alias("x"))
-    rows = rows.select("text_hash", "x.item_id", (F.size("x.laid") / F.col("x.n")).alias("score"), F.filter("x.laid", lambda x: x["slot"]).alias("slots")).where(F.col("score") >= match)
-    pairs = F.array_distinct(F.transform("slots", lambda x: F.struct(x["p"], x["d"])))
-    rows = rows.where(F.size(pairs) == F.size(F.array_distinct(F.transform("slots", lambda x: x["p"]))))
-    return rows.groupBy("text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("score").alias("score"))
+    # one row for each passage: of each shift the tokens that match in place, and the places as a string of 0 and 1
+    rows = back.select("text_hash", "raw", "template", F.explode("hits").alias("h")).select("text_hash", "raw", "template", "h.*")
+
+    def lay(s: Column) -> Column:
+        same = F.transform("p_template", lambda t, j: F.when(F.get("template", s + j) == t, "1").otherwise("0"))
+        return F.struct(s.alias("s"), F.array_join(same, "").alias("mask"))
+
+    rows = rows.withColumn("laid", F.transform("shifts", lay))
+    places = F.sequence(F.lit(0), F.size("p_template") - 1)
+
+    def matched(x: Column, run: int) -> Column:
+        """The tokens in runs of ``run`` or more: such a run is in the ``run - 1`` places at either side of each of its tokens."""
+        pad = "0" * (run - 1)
+        wide = F.concat(F.lit(pad), x["mask"], F.lit(pad))
+        inside = F.filter(places, lambda j: F.substr(wide, j + 1, F.lit(2 * run - 1)).contains("1" * run))
+        return F.transform(inside, lambda j: F.struct(j.alias("j"), F.get("p_template", j).startswith("<").alias("slot"), plain(F.get("p_raw", j)).alias("p"), plain(F.get("raw", x["s"] + j)).alias("d")))
+
+    def case(found: Column, least: Column) -> Column:
+        return F.struct(found.alias("found"), least.alias("least"))
+
+    share = F.size("p_template") * F.lit(match)
+    cases = F.concat(
+        F.transform("laid", lambda x: case(matched(x, 1), share)),
+        F.array(case(F.flatten(F.transform("laid", lambda x: matched(x, PART))), share)),
+        F.transform("laid", lambda x: case(matched(x, RUN), F.lit(float(RUN)))),
+    )
+    # explode_outer, lest the cases be computed twice
+    rows = rows.select("text_hash", "item_id", F.size("p_template").alias("n"), F.explode_outer(cases).alias("x"))
+    rows = rows.select("text_hash", "item_id", "n", "x.found", "x.least", F.size(F.array_distinct(F.transform("x.found", lambda y: y["j"]))).alias("k")).where("k >= least")
+    rows = rows.where(consistent(F.filter("found", lambda y: y["slot"])))
+    return rows.groupBy("text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max(F.col("k") / F.col("n")).alias("score"))
+
+
+def consistent(slots: Column) -> Column:
+    """Whether ``CONSISTENT`` of the slots (p, d) whose p repeats have the most frequent d of their p."""
+
+    def one(p: Column) -> Column:
+        ds = F.transform(F.filter(slots, lambda y: y["p"] == p), lambda y: y["d"])
+        most = F.array_max(F.transform(F.array_distinct(ds), lambda d: F.size(F.filter(ds, lambda e: e == d))))
+        return F.struct(F.size(ds).alias("n"), most.alias("most"))
+
+    counts = F.filter(F.transform(F.array_distinct(F.transform(slots, lambda y: y["p"])), one), lambda c: c["n"] > 1)
+    total = F.aggregate(counts, F.lit(0), lambda a, c: a + c["n"])
+    agree = F.aggregate(counts, F.lit(0), lambda a, c: a + c["most"])
+    return agree >= total * F.lit(CONSISTENT)
 
 
 def flag_documents(docs: DataFrame, benchmark: DataFrame, match: float = MATCH) -> DataFrame:

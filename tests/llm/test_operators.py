@@ -197,6 +197,25 @@ def test_reparameterised_questions(spark):
     assert got == {1: True, 2: False, 3: False}
 
 
+def test_broken_and_partial_copies(spark, sf):
+    items = [(r.item_id, r.text.split()) for r in table(spark, sf, "benchmark").collect() if len(r.text.split()) >= 24]
+    filler = " ".join(f"other{i}" for i in range(40))
+    forms = {"whole": lambda w: w, "put in": lambda w: w[: len(w) // 2] + ["zzz"] + w[len(w) // 2 :], "left out": lambda w: w[: len(w) // 2] + w[len(w) // 2 + 1 :], "half": lambda w: w[: len(w) // 2]}
+    rows = [(n, i, f"{filler} {' '.join(make(w))} {filler}") for n, make in forms.items() for i, w in items]
+    docs = spark.createDataFrame([(f"{n}/{i}", text) for n, i, text in rows], "doc_id string, text string")
+    got = {r.doc_id: r.item_ids.split(",") for r in decontamination.flag_documents(docs, table(spark, sf, "benchmark")).collect()}
+    for n in forms:
+        assert sum(str(i) in got[f"{n}/{i}"] for i, _ in items) >= 0.95 * len(items) > 0, n
+
+
+def test_one_unequal_slot_of_many(spark):
+    ask = "Then {} sold apples to the baker, and {} sold pears to the miller, and {} went home along the quiet river road."
+    bench = spark.createDataFrame([(1, ask.format("Anna", "Anna", "Anna"))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, ask.format("Bertha", "Bertha", "Carla")), (2, ask.format("Bertha", "Dora", "Carla"))], "doc_id long, text string")
+    got = {r.doc_id: r.contaminated for r in decontamination.flag_documents(docs, bench).collect()}
+    assert got == {1: True, 2: False}
+
+
 def test_toxicity(spark, sf, odd, empty):
     more = sf.replace("sf0.001", "sf0.01")  # the smallest tables have eight toxic rows
     out = toxicity.op1_subword_toxicity(spark, more).join(table(spark, more, "labels"), "doc_id").where("held_out").select("score", "toxic").collect()
