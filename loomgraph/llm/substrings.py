@@ -1,8 +1,9 @@
 """Substring dedup by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes of a text (its words joined by single
-spaces) marks cut points, moved to the end of their word; so an insertion moves
-no cut but those beside it. Chunks are compared by digest; of each the first
+spaces) marks cut points, moved to the end of their word; of ``LONGEST`` words without one
+the word of the smallest hash is one. So an insertion moves no cut but those
+beside it. Chunks are compared by digest; of each the first
 document (smallest doc_id, then text hash) keeps it. In other documents a run of
 adjacent repeated chunks goes if it has ``min_words`` words or more.
 """
@@ -21,6 +22,8 @@ from .common import hot_lookup, materialize, table, text_of
 
 #: One cut in so many bytes on average; a passage needs two cuts to be found.
 AVERAGE = 32
+#: Of so many words in a row one is the last of its chunk: where no cut falls, that with the smallest hash.
+LONGEST = 12
 #: Shorter runs of repeated chunks stay: idioms, names, licence lines.
 MIN_WORDS = 16
 
@@ -37,22 +40,41 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def chunk(text: str) -> tuple[list[int], list[int]]:
-    """(signed 64-bit digests, numbers of words) of the chunks; none for a text without words."""
-    import xxhash
-
+def split(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """(words joined by single spaces, the end of each word, the numbers of the chunks' last words)."""
     words = text.encode("utf-8", "surrogatepass").split()
-    if not words:
-        return [], []
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    hit = np.flatnonzero((gear(np.frombuffer(joined, np.uint8)) >> np.uint32(15)) % AVERAGE == 0)
-    last = np.unique(np.append(np.minimum(np.searchsorted(ends, hit), len(words) - 1), len(words) - 1))
-    first = np.concatenate(([0], last[:-1] + 1))
+    if not words:
+        return joined, ends, ends
+    h = gear(np.frombuffer(joined, np.uint8)) >> np.uint32(15)
+    last = np.unique(np.minimum(np.searchsorted(ends, np.flatnonzero(h % AVERAGE == 0)), len(words) - 1))
+    if len(words) >= LONGEST:
+        # words and their hashes tell where a stretch without a cut gets one, so it gets the same one in any document
+        before = np.searchsorted(last, np.arange(len(words) + 1))
+        bare = np.flatnonzero(before[LONGEST:] == before[:-LONGEST])
+        if len(bare):
+            at = h[ends - 1]
+            least = np.concatenate([b + np.lib.stride_tricks.sliding_window_view(at, LONGEST)[b].argmin(1) for b in np.array_split(bare, len(bare) // 4096 + 1)])
+            last = np.concatenate((last, least))
+    return joined, ends, np.unique(np.append(last, len(words) - 1))
+
+
+def _digests(joined: bytes, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[int]:
+    import xxhash
+
     begin = np.where(first > 0, ends[first - 1] + 1, 0)
     one = xxhash.xxh64_intdigest
-    digests = np.fromiter((one(joined[a:b]) for a, b in zip(begin.tolist(), ends[last].tolist())), np.uint64, len(last))
-    return digests.view(np.int64).tolist(), (last - first + 1).tolist()
+    return np.fromiter((one(joined[a:b]) for a, b in zip(begin.tolist(), ends[last].tolist())), np.uint64, len(last)).view(np.int64).tolist()
+
+
+def chunk(text: str) -> tuple[list[int], list[int]]:
+    """(signed 64-bit digests, numbers of words) of the chunks; none for a text without words."""
+    joined, ends, last = split(text)
+    if not len(last):
+        return [], []
+    first = np.concatenate(([0], last[:-1] + 1))
+    return _digests(joined, ends, first, last), (last - first + 1).tolist()
 
 
 def cut(text: str, repeated: list[int], min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]], int]:

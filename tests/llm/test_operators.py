@@ -164,6 +164,18 @@ def test_substrings(spark, sf, docs, odd, empty):
     assert substrings.dedup_substrings(empty).count() == 0
 
 
+def test_no_passage_is_missed_whole(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for j in range(400):
+        passage = " ".join(f"{i:x}" for i in rng.integers(0, 2**16, 50))
+        for side in (0, 1):
+            rows.append((2 * j + side, " ".join([f"a{j}x{side}x{i}" for i in range(30)] + [passage] + [f"b{j}x{side}x{i}" for i in range(30)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.removed_words for r in substrings.dedup_substrings(docs).select("doc_id", "removed_words").collect()}
+    assert all(got[2 * j] == 0 and substrings.MIN_WORDS <= got[2 * j + 1] <= 50 for j in range(400))
+
+
 def test_chunks_resist_insertions():
     rng = np.random.default_rng(3)
     words = [f"word{i}" for i in rng.integers(0, 10**6, 2000)]
