@@ -3,9 +3,10 @@
 A gear rolling hash over the last 16 bytes of a text (its words joined by single
 spaces) marks cut points, moved to the end of their word; of ``LONGEST`` words without one
 the word of the smallest hash is one. So an insertion moves no cut but those
-beside it. Chunks are compared by digest; of each the first
-document (smallest doc_id, then text hash) keeps it. In other documents a run of
-adjacent repeated chunks goes if it has ``min_words`` words or more.
+beside it. Runs of ``min_words`` words, from the start of each chunk and at the
+end of the text, are compared by digest; of each the first document (smallest
+doc_id, then text hash) keeps it, in others it goes. So whatever goes stands in
+runs of ``min_words`` words that one other document holds whole.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import hot_lookup, materialize, table, text_of
 AVERAGE = 32
 #: Of so many words in a row one is the last of its chunk: where no cut falls, that with the smallest hash.
 LONGEST = 12
-#: Shorter runs of repeated chunks stay: idioms, names, licence lines.
+#: Shorter repeats stay: idioms, names, licence lines.
 MIN_WORDS = 16
 
 _GEAR = np.random.default_rng(20240501).integers(0, 2**32, 256, dtype=np.uint32)
@@ -77,22 +78,34 @@ def chunk(text: str) -> tuple[list[int], list[int]]:
     return _digests(joined, ends, first, last), (last - first + 1).tolist()
 
 
+def run_starts(ends: np.ndarray, last: np.ndarray, min_words: int) -> np.ndarray:
+    """The first word of each run of ``min_words`` words: of the chunks, as far as there are so many, and for the end of the text."""
+    first = np.concatenate(([0], last[:-1] + 1))
+    return np.unique(np.append(first[first + min_words <= len(ends)], max(0, len(ends) - min_words)))
+
+
+def runs(text: str, min_words: int = MIN_WORDS) -> list[int]:
+    """Digests of the runs of ``text``; none for fewer than ``min_words`` words."""
+    joined, ends, last = split(text)
+    if len(ends) < min_words:
+        return []
+    first = run_starts(ends, last, min_words)
+    return _digests(joined, ends, first, first + min_words - 1)
+
+
 def cut(text: str, repeated: list[int], min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]], int]:
-    """(text without the runs of ``repeated`` chunks, their spans in ``text``, their words)."""
+    """(text without the runs of ``repeated``, their spans in ``text``, their words)."""
     if not repeated:
         return text, [], 0
-    sizes = chunk(text)[1]
-    starts = np.concatenate(([0], np.cumsum(sizes)))
+    _, ends, last = split(text)
+    starts = run_starts(ends, last, min_words)
     gone = []
     for i in sorted(set(repeated)):
-        a, b = int(starts[i]), int(starts[i + 1])
-        if gone and gone[-1][1] == a:
+        a, b = int(starts[i]), int(starts[i]) + min_words
+        if gone and gone[-1][1] >= a:
             gone[-1][1] = b
         else:
             gone.append([a, b])
-    gone = [g for g in gone if g[1] - g[0] >= min_words]
-    if not gone:
-        return text, [], 0
     places = [m.span() for m in _WORD.finditer(text)]
     spans, out, at = [], [], 0
     for a, b in gone:
@@ -104,8 +117,8 @@ def cut(text: str, repeated: list[int], min_words: int = MIN_WORDS) -> tuple[str
     return "".join(out), spans, sum(b - a for a, b in gone)
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, repeated) for documents that hold chunks of an earlier document; ``repeated``: the chunks' numbers."""
+def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, text_hash, repeated) for documents that hold runs of an earlier document; ``repeated``: the runs' numbers."""
     slim = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -113,7 +126,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                digests = [chunk(t)[0] for t in part.column(2).to_pylist()]
+                digests = [runs(t, min_words) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "digests"])
 
     chunks = materialize(slim.mapInArrow(run, f"doc_id {kind}, text_hash long, digests array<long>"))
@@ -121,7 +134,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     each = chunks.select(own.alias("own"), F.explode(F.array_distinct("digests")).alias("digest"))
     shared = materialize(each.groupBy("digest").agg(F.min("own").alias("owner"), F.max("own").alias("other"), F.count(F.lit(1)).alias("n")).where("owner <> other").drop("other"))
-    # at most 2000 digests can hold a 2000th of all chunks each
+    # at most 2000 digests can hold a 2000th of all rows each
     hot = [r[0] for r in shared.where(F.col("n") > max(64, n // 2000)).select("digest").collect()]
     placed = chunks.select(own.alias("own"), F.posexplode("digests").alias("at", "digest"))
     met = hot_lookup(placed, shared.drop("n"), "digest", n, how="inner", hot=hot).where("owner <> own")
@@ -132,10 +145,10 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` cut, n_chars (where there is such a column) set anew, and the columns removed_words and removed_spans.
 
     Every row stays, also where nothing of its text is left. Rows that repeat
-    id and text are one document and keep or lose the same chunks. Repeats
+    id and text are one document and keep or lose the same runs. Repeats
     within one document stay. ``removed_spans`` are characters of the old text.
     """
-    repeated = repeated_chunks(docs).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("repeated").alias("__repeated"))
+    repeated = repeated_chunks(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("repeated").alias("__repeated"))
     keep = [c for c in docs.columns if c not in ("removed_words", "removed_spans")]
     left = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("__h", F.xxhash64(text_of()))
     both = left.join(repeated, (F.col("__h") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__h", "__hash", "__id")

@@ -176,6 +176,22 @@ def test_no_passage_is_missed_whole(spark):
     assert all(got[2 * j] == 0 and substrings.MIN_WORDS <= got[2 * j + 1] <= 50 for j in range(400))
 
 
+def test_only_runs_of_one_document_go(spark):
+    rng = np.random.default_rng(8)
+    words = [f"word{i}" for i in rng.integers(0, 10**6, 600)]
+    at = np.concatenate(([0], np.cumsum(substrings.chunk(" ".join(words))[1])))
+    parts = [words[a:b] for a, b in zip(at, at[1:]) if b - a < substrings.MIN_WORDS]
+    texts = [[w for p in order for w in p] for order in (parts, parts[::-1], parts[:20] + parts[60:90] + parts[30:50])]
+    rows = substrings.dedup_substrings(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert got[0].removed_words == 0 and got[1].removed_words == 0 < got[2].removed_words
+    seen = {tuple(w[i : i + substrings.MIN_WORDS]) for w in texts[:2] for i in range(len(w) - substrings.MIN_WORDS + 1)}
+    covered = {i + k for i in range(len(texts[2])) if tuple(texts[2][i : i + substrings.MIN_WORDS]) in seen for k in range(substrings.MIN_WORDS)}
+    places = np.cumsum([0] + [len(w) + 1 for w in texts[2]])
+    gone = {k for s in got[2].removed_spans for k in range(len(texts[2])) if s.start <= places[k] < s.end}
+    assert gone <= covered and len(gone) == got[2].removed_words
+
+
 def test_chunks_resist_insertions():
     rng = np.random.default_rng(3)
     words = [f"word{i}" for i in rng.integers(0, 10**6, 2000)]
