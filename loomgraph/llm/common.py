@@ -3,9 +3,10 @@
 Conventions that hold for all operators of this package:
 
 * a null text counts as the empty text, an empty table gives an empty result;
-* operators address the columns they need by name and take only those, so
-  further columns can't clash with them; where an operator adds columns to its
-  input, a column of the same name is replaced;
+* operators address the columns they need by name; names that they need beside
+  the input's columns are chosen so that no column has them (``free_names``);
+  where an operator adds columns to its input, a column of the same name is
+  replaced;
 * where rows must be told apart, a document is its ``doc_id`` and the 64-bit
   hash of its text: rows that repeat both are one document.
 """
@@ -30,13 +31,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, or a new one where that is unset (tests)."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where that is unset, a local session gets a temporary one and a cluster one in its warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        own = tempfile.mkdtemp(prefix="checkpoints-") if sc.master.startswith("local") else f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return sc.getCheckpointDir()
 
 
+#: Tables whose rows are estimated to be at most so many bytes together are broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """``df``, a written table, marked for broadcast if its rows, of about ``row_bytes`` each, are few enough; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def free_names(columns: Iterable[str], *names: str) -> list[str]:
+    """A name like each of ``names`` that none of ``columns`` has, whatever the case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while f"__{name}" in taken:
+            name += "_"
+        taken.add(f"__{name}")
+        out.append(f"__{name}")
+    return out
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: cuts the lineage, and lost executors lose nothing."""
     spark = df.sparkSession
@@ -60,10 +82,11 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[Iter
     Runs as one Arrow map without a shuffle. ``make`` gets the whole texts of a
     batch as an iterable and yields as many tuples in that order.
     """
-    added = {f.name for f in fields}
-    names = [c for c in (keep if keep is not None else df.columns) if c not in added]
-    source = df.select(*[F.col(f"`{c}`") for c in names], text_of(text).alias("__text"))
-    schema = T.StructType([f for f in source.schema.fields if f.name != "__text"] + fields)
+    added = {f.name.lower() for f in fields}
+    names = [c for c in (keep if keep is not None else df.columns) if c.lower() not in added]
+    (whole,) = free_names(names, "text")
+    source = df.select(*[F.col(f"`{c}`") for c in names], text_of(text).alias(whole))
+    schema = T.StructType([f for f in source.schema.fields if f.name != whole] + fields)
     out_types = T.StructType(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +97,7 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[Iter
             # some thousand documents can hold many megabytes: work on slices
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                k = part.schema.get_field_index("__text")
+                k = part.num_columns - 1
                 rows = list(make(part.column(k).to_pylist()))
                 columns = list(zip(*rows)) if rows else [()] * len(arrow)
                 arrays = [part.column(i) for i in range(part.num_columns) if i != k]
@@ -98,11 +121,12 @@ def hot_lookup(big: DataFrame, small: DataFrame, key: str, n_big: int, share: fl
         hot = [r[0] for r in big.groupBy(key).count().where((F.col("count") > least) & F.col(key).isNotNull()).select(key).collect()]
     if not hot:
         return big.join(small, key, how)
+    (mark,) = free_names([*big.columns, *small.columns], "hot")
     flags = big.sparkSession.createDataFrame([(h,) for h in hot], T.StructType([T.StructField(key, big.schema[key].dataType)]))
     heads = small.join(F.broadcast(flags), key, "left_semi")
-    marked = big.join(F.broadcast(flags.withColumn("__hot", F.lit(True))), key, "left")
-    warm = marked.where("__hot").drop("__hot").join(F.broadcast(heads), key, how)
-    cold = marked.where("__hot is null").drop("__hot").join(small, key, how)
+    marked = big.join(F.broadcast(flags.withColumn(mark, F.lit(True))), key, "left")
+    warm = marked.where(F.col(mark)).drop(mark).join(F.broadcast(heads), key, how)
+    cold = marked.where(F.col(mark).isNull()).drop(mark).join(small, key, how)
     return warm.unionByName(cold)
 
 
@@ -116,9 +140,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     n = edges.count()
     before = None
-    for _ in range(60):
-        if n == 0:
-            break
+    while n:
         # large star: neighbours above a node are tied to the smallest of its neighbourhood
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
