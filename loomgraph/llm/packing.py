@@ -8,65 +8,117 @@ padding and no sequence crosses documents.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, text_of
 
-#: Entries of the word cache; it is emptied when full, which changes no result.
+#: Entries of a generation of the cache; two are kept, so pieces in use never go.
 CACHE = 400_000
 #: Longer words go through the tokenizer without being kept.
 LONG_WORD = 32
+#: Bytes of text that are cut into words at once; a longer text is a slice by itself.
+SLICE = 8 << 20
 
-_PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: str.split() splits there, the tokenizer doesn't.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+#: Words that normalisation leaves alone but for case, one character for one.
+_PLAIN = r"^[\x{21}-\x{7e}\x{a1}-\x{12f}\x{131}-\x{17f}]+$"
+#: Arrow splits there, the tokenizer doesn't.
+_ODD_SPACE = r"[\x1c-\x1f]"
 
 
-class WordCache(dict):
-    """Ids (little-endian unsigned 32-bit) of a text between white space, which the tokenizer never joins."""
+def ragged(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches ``flat[begins[c] : begins[c] + sizes[c]]`` of all ``codes`` one after another, and where each begins (and the end)."""
+    lens = sizes[codes]
+    upto = np.concatenate(([0], np.cumsum(lens)))
+    place = np.repeat(begins[codes] - upto[:-1], lens)
+    place += np.arange(upto[-1])
+    return flat[place], upto
+
+
+def table_of(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, begins, sizes) of strings of 32-bit ids."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    return np.frombuffer(b"".join(found), np.uint32), np.cumsum(sizes) - sizes, sizes
+
+
+class WordCache:
+    """Ids of texts, word by word: the tokenizer never joins what white space divides, nor a word's pieces.
+
+    The ids of pieces live in two generations: new ones go to the young, and
+    when that is full it becomes the old one; a piece found in the old one moves
+    up. So the cache is bounded and keeps what the texts use, whatever their number.
+    """
 
     def __init__(self, path: str) -> None:
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.pieces = regex.compile(_PIECES)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.byte_chars = dict(zip(plain + rest, map(chr, plain + [256 + i for i in range(len(rest))])))
 
     def whole(self, text: str) -> bytes:
-        return pa.array(self.tokenizer.encode(text, add_special_tokens=False).ids, pa.uint32()).to_numpy().astype("<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        # the direct way holds for words that normalisation leaves alone but for case
-        if len(word) > LONG_WORD or "<|" in word or not all(c < "̀" for c in word):
-            return self.whole(word)
-        out = []
-        for piece in self.pieces.findall(word.lower()):
-            ids = self.words.get(piece)
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def piece(self, piece: str) -> bytes:
+        tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.byte_chars))
+        return array("I", [t.id for t in tokens]).tobytes()
+
+    def get(self, words: list[str], make: Callable[[str], bytes]) -> list[bytes]:
+        """The ids of distinct ``words``."""
+        found = list(map(self.young.get, words))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            word = words[i]
+            ids = self.old.get(word)
             if ids is None:
-                if len(self.words) >= CACHE:
-                    self.words.clear()
-                tokens = self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(self.byte_chars))
-                ids = self.words[piece] = b"".join(t.id.to_bytes(4, "little") for t in tokens)
-            out.append(ids)
-        ids = b"".join(out)
-        if len(self) >= CACHE:
-            self.clear()
-        self[word] = ids
-        return ids
+                ids = make(word) if word else b""
+            found[i] = ids
+            if len(word) <= LONG_WORD:
+                if len(self.young) >= CACHE:
+                    self.old, self.young = self.young, {}
+                self.young[word] = ids
+        return found
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, begins, sizes) of distinct words."""
+        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
+        pieces = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words.filter(pa.array(plain))), _PIECES, r"\1 "), " ")
+        coded = pieces.values.dictionary_encode()
+        found = self.get(coded.dictionary.to_pylist(), self.piece)
+        flat, upto = ragged(*table_of(found), coded.indices.to_numpy(zero_copy_only=False))
+        ends = upto[np.asarray(pieces.offsets)]
+        # a piece and an odd word are never the same string
+        odd = self.get(words.filter(pa.array(~plain)).to_pylist(), self.whole)
+        more, begin, size = table_of(odd)
+        begins, sizes = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        begins[plain], sizes[plain] = ends[:-1], np.diff(ends)
+        begins[~plain], sizes[~plain] = begin + len(flat), size
+        return np.concatenate((flat, more)), begins, sizes
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of ids of each text); only distinct pieces of words are seen one by one."""
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        coded = words.values.dictionary_encode()
+        ids, upto = ragged(*self.words(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False))
+        ends = upto[np.asarray(words.offsets)]
+        if not pc.any(odd).as_py():
+            return ids, np.diff(ends)
+        parts = [self.whole(t.as_py()) if o.as_py() else ids[a:b].tobytes() for t, o, a, b in zip(texts, odd, ends[:-1].tolist(), ends[1:].tolist())]
+        flat, _, sizes = table_of(parts)
+        return flat, sizes
 
     def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return self.encode_all(pa.array([text]))[0].astype("<u4").tobytes()
 
 
 _caches: dict[str, WordCache] = {}
@@ -79,11 +131,28 @@ def cache_of(path: str) -> WordCache:
     return _caches[path]
 
 
-def decompose(n: int, longest: int) -> list[int]:
-    """Powers of two, largest first, that add up to ``n``."""
-    out = [longest] * (n // longest)
-    rest = n % longest
-    return out + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
+def decompose(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, length) of each piece: of every count the powers of two, largest first, that add up to it."""
+    full, rest = counts // longest, counts % longest
+    bits = 1 << np.arange(longest.bit_length() - 2, -1, -1, dtype=np.int64)
+    digits = rest[:, None] & bits
+    number = full + (digits > 0).sum(1)
+    doc = np.repeat(np.arange(len(counts)), number)
+    rank = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+    length = np.full(len(doc), longest, np.int64)
+    length[rank >= full[doc]] = digits[digits > 0]
+    return doc, length
+
+
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(start, number) of runs of texts of at most ``SLICE`` bytes together; a longer text is a run by itself."""
+    upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(upto):
+        before = upto[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(upto, before + SLICE, side="right")))
+        yield at, end - at
+        at = end
 
 
 def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1) -> DataFrame:
@@ -95,30 +164,27 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1)
     ``offset`` is 0; ``sequence_id`` is unique and its upper byte is the bucket,
     the binary logarithm of the length.
     """
-    if longest & (longest - 1):
-        raise ValueError("longest must be a power of two")
+    if longest < 2 or longest & (longest - 1):
+        raise ValueError("longest must be a power of two above 1")
     source = docs.select("doc_id", text_of().alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = cache_of(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                take, starts, lengths, tokens, totals = [], [], [], [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    ids = words.encode(text) + end
-                    n, begin = len(ids) // 4, 0
-                    for length in decompose(n, longest):
-                        take.append(i)
-                        starts.append(begin)
-                        lengths.append(length)
-                        tokens.append(ids[4 * begin : 4 * (begin + length)])
-                        totals.append(n)
-                        begin += length
+            for at, rows in slices(batch.column(1)):
+                part = batch.slice(at, rows)
+                ids, counts = words.encode_all(part.column(1))
+                # the end id after each text
+                ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+                counts = counts + 1
+                doc, length = decompose(counts, longest)
+                upto = np.concatenate(([0], np.cumsum(length)))
+                begin = np.cumsum(counts) - counts
+                # the pieces lie one after another in the ids
+                tokens = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(4 * upto), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(take, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(tokens, pa.binary()), pa.array(totals, pa.int64())],
+                    [part.column(0).take(pa.array(doc)), pa.array(upto[:-1] - begin[doc]), pa.array(length), tokens, pa.array(counts[doc])],
                     names=["doc_id", "start", "length", "tokens", "doc_tokens"],
                 )
 
@@ -127,6 +193,20 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1)
     return pieces.select("*", (F.shiftleft(bucket.cast("long"), 56) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), bucket.alias("bucket"))
 
 
+def bucketed(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with those of a bucket side by side in every partition, so batches of one length are read off in a row.
+
+    A bucket is spread over all partitions by sequence_id, since one length may hold most of the rows.
+    """
+    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pieces.repartition(parts, F.xxhash64("sequence_id")).sortWithinPartitions("bucket", "sequence_id")
+
+
+def write_buckets(pieces: DataFrame, path: str) -> None:
+    """One folder for each length, ``bucket=0`` .. at ``path``; no shuffle."""
+    pieces.write.partitionBy("bucket").parquet(path)
+
+
 def digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
@@ -138,4 +218,4 @@ def tokenizer_path() -> str:
 
 
 def op5_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pack(table(spark, sf_dir, "documents"), tokenizer_path()))
+    return bucketed(digest(pack(table(spark, sf_dir, "documents"), tokenizer_path())))

@@ -58,8 +58,41 @@ def test_packing_round_trip(spark, sf, docs, odd, empty):
 
 @pytest.mark.parametrize("n", [0, 1, 2047, 2048, 5000])
 def test_decompose(n):
-    out = packing.decompose(n, 2048)
-    assert sum(out) == n and len(out) == n // 2048 + (n % 2048).bit_count()
+    doc, out = packing.decompose(np.array([n, 7]), 2048)
+    own = out[doc == 0].tolist()
+    assert sum(own) == n and len(own) == n // 2048 + (n % 2048).bit_count() and own == sorted(own, reverse=True)
+    assert out[doc == 1].tolist() == [4, 2, 1]
+
+
+def test_word_cache_forgets_only_what_is_unused(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 50)
+    t, words = Tokenizer.from_file(packing.tokenizer_path()), packing.WordCache(packing.tokenizer_path())
+    for k in range(40):
+        text = " ".join(["always", *(f"w{k}x{i}" for i in range(9)), "Çe", "l'été"])
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert len(words.young) <= 50 and len(words.old) <= 50 and ("always" in words.young or "always" in words.old)
+
+
+def test_every_character_is_tokenised_alike():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    t, words = Tokenizer.from_file(packing.tokenizer_path()), packing.cache_of(packing.tokenizer_path())
+    texts = [x for c in range(1, 0x3100) for x in (chr(c), f"A{chr(c)}b")]
+    ids, sizes = words.encode_all(pa.array(texts))
+    ends = np.cumsum(sizes)
+    want = t.encode_batch(texts, add_special_tokens=False)
+    assert all(ids[e - n : e].tolist() == w.ids for e, n, w in zip(ends, sizes, want))
+
+
+def test_buckets_lie_together(spark, sf):
+    pieces = packing.bucketed(packing.digest(packing.pack(table(spark, sf, "documents"), packing.tokenizer_path())))
+    parts = pieces.select(F.spark_partition_id().alias("p"), "bucket").collect()
+    for p in {r.p for r in parts}:
+        own = [r.bucket for r in parts if r.p == p]
+        assert own == sorted(own)
 
 
 def test_merkle(spark, sf, docs, odd, empty):
@@ -303,3 +336,57 @@ def test_head_words_are_the_most_frequent(spark):
     for size in (1, 5, 120, 399, 1000):
         assert language_model.head_of(counts, size) == sorted(rows, key=lambda x: (-x[1], x[0]))[:size]
     assert language_model.head_of(counts.limit(0)) == []
+
+
+SHORT_ITEMS = [
+    "Paris",
+    "Who wrote Hamlet?",
+    "The capital city is Lima.",
+    "Name the seven smaller moons now.",
+    "Which river crosses the old town today?",
+    "Anna 12, Boris 40, Carla 77, Dora 15, Emil 90, Frida 31, Gustav 8, Hanna 56, Ivan 3, Jana 64",
+    "3 4 5 6 7 8 9 10 11 12 13 14",
+    "Wie heißt ‘Größe’ – auf Englisch?",
+    "١٢ كم يساوي",
+]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_every_item_is_found_at_any_offset(spark, sf, monkeypatch, small):
+    if not small:
+        monkeypatch.setattr("loomgraph.llm.common.BROADCAST_BYTES", -1)
+    rng = np.random.default_rng(12)
+    items = SHORT_ITEMS + [r.text for r in table(spark, sf, "benchmark").limit(40).collect()]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id long, text string")
+    rows = []
+    for i, t in enumerate(items):
+        for k in range(9):
+            before, after = (" ".join(f"other{x}" for x in rng.integers(0, 10**6, n)) for n in (k, rng.integers(0, 30)))
+            rows.append((f"{i}/{k}", " ".join(x for x in (before, t, after) if x)))
+    rows += [(f"clean/{k}", " ".join(f"other{x}" for x in rng.integers(0, 10**6, 60))) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(8)
+    got = {r.doc_id: r.item_ids.split(",") for r in decontamination.flag_documents(docs, bench).collect()}
+    assert [d for d in got if d.split("/")[0] not in got[d] and not d.startswith("clean")] == []
+    assert all(got[f"clean/{k}"] == [""] for k in range(30))
+
+
+def test_new_numbers_and_names_are_found(spark):
+    rng = np.random.default_rng(5)
+    names = ["Anna", "Boris", "Carla", "Dora", "Emil", "Frida", "Gustav", "Hanna"]
+    verbs = ["buys", "sells", "paints", "counts", "carries", "drops", "finds", "loses"]
+    things = ["apples", "boxes", "lamps", "stones", "ropes", "tins", "candles", "nails"]
+
+    def ask(words, values):
+        a, b, c, x, y = values
+        v, w, t, u = words
+        return f"Every morning {a} {v} {x} {t} near the mill while {b} {w} {y} {u} at home, so how many {t} does {a} have if {c} takes half?"
+
+    def draw():
+        return (*rng.choice(names, 3, replace=False), *rng.integers(2, 99, 2))
+
+    questions = [(*rng.choice(verbs, 2, replace=False), *rng.choice(things, 2, replace=False)) for _ in range(30)]
+    bench = spark.createDataFrame([(i, ask(q, draw())) for i, q in enumerate(questions)], "item_id long, text string")
+    filler = " ".join(f"other{i}" for i in range(17))
+    docs = spark.createDataFrame([(i, f"{filler} {ask(q, draw())} {filler}") for i, q in enumerate(questions)], "doc_id long, text string")
+    got = {r.doc_id: r.item_ids.split(",") for r in decontamination.flag_documents(docs, bench).collect()}
+    assert sum(str(i) in got[i] for i in got) >= 0.9 * len(questions)
