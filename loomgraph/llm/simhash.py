@@ -10,6 +10,12 @@ that a sample predicts. Two fingerprints within ``max_distance`` must meet one
 partition's threshold when the thresholds add up to
 ``max_distance - partitions + 1``, so probing each partition within its
 threshold and verifying the whole fingerprints loses nothing.
+
+Near copies by similarity (``drop_near_copies``) lie too far apart in their 256
+bits for that sum. There the same dynamic programming picks thresholds so that
+a pair of the wanted similarity is met with a given chance, from partitions of
+several divisions of the bits and of a width that suits the number of
+fingerprints; what is met and near is verified by the similarity itself.
 """
 
 from __future__ import annotations
@@ -24,12 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, add_columns, components, materialize, table, text_of
+from .common import LOWER, add_columns, broadcast_if_small, components, free_names, hot_lookup, materialize, table, text_of
 
 #: Fingerprints that the cost model looks at; it steers the work, never the result.
 SAMPLE = 2000
 #: Members of one bucket that a task compares at once; larger buckets are dealt out in pairs of blocks.
 BLOCK = 2048
+#: Pairs whose fingerprints a task compares at once.
+PAIRS = 1 << 21
+#: Chance that the wide search meets a pair of just the wanted similarity whose bits are a standard deviation further apart than such pairs' mean.
+RECALL = 0.95
 
 
 def shingle_hashes(text: str, words_each: int) -> np.ndarray:
@@ -60,9 +70,11 @@ def _mix(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint(text: str, words_each: int = 3, lanes: int = 1) -> list[int]:
-    """``lanes`` times 64 bits as signed integers; all zero without words."""
+def fingerprint(text: str, words_each: int = 3, lanes: int = 1, distinct: bool = False) -> list[int]:
+    """``lanes`` times 64 bits as signed integers; all zero without words. ``distinct``: each shingle counts once."""
     h = shingle_hashes(text, words_each)
+    if distinct:
+        h = np.unique(h)
     out = []
     for k in range(lanes):
         votes = np.zeros(64, np.int64)
@@ -74,11 +86,11 @@ def fingerprint(text: str, words_each: int = 3, lanes: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, words_each: int = 3, lanes: int = 1) -> DataFrame:
+def fingerprints(docs: DataFrame, words_each: int = 3, lanes: int = 1, distinct: bool = False) -> DataFrame:
     """(doc_id, text_hash, f0 .. f<lanes-1>) of whole texts, without a shuffle."""
     fields = [T.StructField(f"f{k}", T.LongType()) for k in range(lanes)]
     slim = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), "text")
-    return add_columns(slim, fields, lambda texts: (tuple(fingerprint(t, words_each, lanes)) for t in texts), keep=["doc_id", "text_hash"])
+    return add_columns(slim, fields, lambda texts: (tuple(fingerprint(t, words_each, lanes, distinct)) for t in texts), keep=["doc_id", "text_hash"])
 
 
 def bit_matrix(fps: np.ndarray) -> np.ndarray:
@@ -92,15 +104,18 @@ def group_bits(bits: np.ndarray, parts: int) -> list[list[int]]:
     x = bits - bits.mean(0)
     sd = np.sqrt((x**2).mean(0)) + 1e-9
     corr = np.abs((x.T @ x) / max(1, len(bits)) / np.outer(sd, sd))
-    free, out = set(range(n)), []
+    free, out = np.ones(n, bool), []
     for k in range(parts):
-        size = (n - sum(map(len, out))) // (parts - k)
-        near = sorted(free, key=lambda i: (-corr[i, list(free)].sum(), i))
-        own = [near[0]]
+        size = (int(free.sum())) // (parts - k)
+        # of equal sums the first position
+        total = np.where(free, corr[:, free].sum(1), -np.inf)
+        own = [int(np.argmax(total))]
+        free[own[0]] = False
+        near = corr[:, own[0]].copy()
         while len(own) < size:
-            rest = sorted(free - set(own))
-            own.append(max(rest, key=lambda i: (corr[i, own].sum(), -i)))
-        free -= set(own)
+            own.append(int(np.argmax(np.where(free, near, -np.inf))))
+            free[own[-1]] = False
+            near += corr[:, own[-1]]
         out.append(sorted(own))
     return out
 
@@ -146,27 +161,63 @@ def plan_search(sample: np.ndarray, n: int, max_distance: int, bits_wide: int) -
     return best[1]
 
 
-def _link_runs(fps: np.ndarray, ids: np.ndarray, probe: np.ndarray, max_distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one bucket: at most one link fewer than members."""
-    out: list[tuple[int, int]] = []
-    n = len(ids)
-    label = np.arange(n)
-    for i in range(n - 1):
-        apart = np.bitwise_count(fps[i + 1 :] ^ fps[i]).sum(1)
-        near = np.flatnonzero((apart <= max_distance) & ~(probe[i] & probe[i + 1 :])) + i + 1
-        for other in np.unique(label[near]):
-            mine = label[i]
-            if other != mine:
-                j = near[np.flatnonzero(label[near] == other)[0]]
-                if ids[i] != ids[j]:
-                    out.append((int(ids[i]), int(ids[j])))
-                label[label == other] = mine
-    return out
-
-
-def links_within(nodes: DataFrame, plans: list[list[tuple[list[int], int]]], max_distance: int, lanes: int, n: int) -> DataFrame:
-    """Links (a, b) between ``nodes (node, f0 ..)`` that span each bucket's components of pairs within ``max_distance``."""
-    parts = [p for plan in plans for p in plan]
+def spanning_forest(l: np.ndarray, r: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the edges (l, r) of weight d between ``n`` nodes that make a spanning forest of the least weight, by rounds of nearest edges of all trees at once."""
+    label, out = np.arange(n), []
+    edge = np.lexsort((r, l, d))
+    while len(edge):
+        a, b = label[l[edge]], label[r[edge]]
+        apart = a != b
+        edge, a, b = edge[apart], a[apart], b[apart]
+        if not len(edge):
+            break
+        # the first edge, in one order for all, of each tree
+        first = np.full(n, len(edge))
+        np.minimum.at(first, a, np.arange(len(edge)))
+        np.minimum.at(first, b, np.arange(len(edge)))
+        trees = np.flatnonzero(first < len(edge))
+        pick = first[trees]
+        out.append(edge[np.unique(pick)])
+        parent = np.arange(n)
+        parent[trees] = np.where(a[pick] == trees, b[pick], a[pick])
+        # two trees that pick the same edge: the smaller is the root
+        back = (parent[parent[trees]] == trees) & (trees < parent[trees])
+        parent[trees[back]] = trees[back]
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        label = parent[label]
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
+def near_pairs(fps: np.ndarray, bucket: np.ndarray, probe: np.ndarray, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, distance) of a spanning forest of the near pairs within each bucket; ``bucket`` is sorted. At most one pair fewer than members."""
+    n = len(bucket)
+    ends = np.searchsorted(bucket, bucket, side="right")
+    after = ends - np.arange(n) - 1
+    begins = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+    upto = np.concatenate(([0], np.cumsum(np.add.reduceat(after, begins))))
+    at = 0
+    while at < len(begins):
+        # whole buckets of so many pairs together
+        last = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS, side="right")) - 1)
+        lo, hi = begins[at], begins[last] if last < len(begins) else n
+        each = after[lo:hi]
+        i = np.repeat(np.arange(lo, hi), each)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
+        some = ~(probe[i] & probe[j])
+        i, j = i[some], j[some]
+        d = np.zeros(len(i), np.int64)
+        for k in range(fps.shape[1]):
+            d += np.bitwise_count(fps[i, k] ^ fps[j, k])
+        near = d <= max_distance
+        i, j, d = i[near], j[near], d[near]
+        kept = spanning_forest(i - lo, j - lo, d, hi - lo)
+        yield i[kept], j[kept], d[kept]
+        at = last
+
+
+def links_within(nodes: DataFrame, parts: list[tuple[list[int], int]], max_distance: int, lanes: int) -> DataFrame:
+    """Links (a, b) between ``nodes (node, f0 ..)`` that span each bucket's components of pairs within ``max_distance``, the nearest pairs first."""
     # as few signatures a fingerprint as the thresholds need, in slices that fit a batch
     masks = [[sum(1 << i for i in c) for r in range(t + 1) for c in combinations(range(len(g)), r)] for g, t in parts]
 
@@ -184,86 +235,153 @@ def links_within(nodes: DataFrame, plans: list[list[tuple[list[int], int]]], max
                         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), *[pa.array(fps[:, k]) for k in range(lanes)], pa.array(np.full(len(ids), m != 0))], names=["key", "node", *[f"f{k}" for k in range(lanes)], "probe"])
 
     wide = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), *[T.StructField(f"f{k}", T.LongType()) for k in range(lanes)], T.StructField("probe", T.BooleanType())])
-    keyed = nodes.select("node", *[f"f{k}" for k in range(lanes)]).mapInArrow(keys, wide)
-    n_keys = n * sum(map(len, masks))
-    # buckets above the limit are at most 4000, so their list is small whatever the input
-    limit = max(BLOCK, n_keys // 4000)
-    hot = keyed.groupBy("key").count().where(F.col("count") > limit).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    hot_rows = hot.collect()
-    if hot_rows:
-        heads = nodes.sparkSession.createDataFrame([tuple(r) for r in hot_rows], "key long, blocks int")
-        marked = keyed.join(F.broadcast(heads), "key", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(F.lit(0)))
+    slim = nodes.select("node", *[f"f{k}" for k in range(lanes)])
+    keyed = slim.mapInArrow(keys, wide)
+    # a bucket above BLOCK is dealt in pairs of blocks, whatever the input
+    large = materialize(keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
+    n_large = large.count()
+    if n_large:
+        marked = keyed.join(broadcast_if_small(large, 32), "key", "left").withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).otherwise(F.lit(0)))
         dealt = marked.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("blocks"), F.lit(1)) - 1)))
-        dealt = dealt.withColumn("pair", F.least("own", "other") * F.lit(1 << 20) + F.greatest("own", "other")).drop("blocks", "own", "other")
+        dealt = dealt.withColumn("pair", F.least("own", "other").cast("long") * F.lit(1 << 31) + F.greatest("own", "other")).drop("blocks", "own", "other")
     else:
-        dealt = keyed.withColumn("pair", F.lit(0))
+        dealt = keyed.withColumn("pair", F.lit(0).cast("long"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         at = 2 + lanes
 
-        def runs(x: np.ndarray) -> list[tuple[int, int]]:
-            cut = np.flatnonzero((x[1:, 0] != x[:-1, 0]) | (x[1:, -1] != x[:-1, -1])) + 1
-            lo, hi = np.concatenate(([0], cut)), np.concatenate((cut, [len(x)]))
-            many = hi - lo > 1
-            out = []
-            for a, b in zip(lo[many].tolist(), hi[many].tolist()):
-                out += _link_runs(x[a:b, 2:at].view(np.uint64), x[a:b, 1], x[a:b, at].astype(bool), max_distance)
-            return out
-
-        def send(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            pairs = np.array(found, np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        def send(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            bucket = np.cumsum(np.append(False, (x[1:, 0] != x[:-1, 0]) | (x[1:, -1] != x[:-1, -1])))
+            for i, j, _ in near_pairs(x[:, 2:at].view(np.uint64), bucket, x[:, at].astype(bool), max_distance):
+                a, b = x[i, 1], x[j, 1]
+                apart = a != b
+                a, b = a[apart], b[apart]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
         for batch in batches:
             x = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], 1)
             x = x if rest is None else np.concatenate((rest, x))
             if not len(x):
                 continue
-            last = int(np.flatnonzero((x[:, 0] != x[-1, 0]) | (x[:, -1] != x[-1, -1]))[-1]) + 1 if ((x[:, 0] != x[-1, 0]) | (x[:, -1] != x[-1, -1])).any() else 0
+            other = np.flatnonzero((x[:, 0] != x[-1, 0]) | (x[:, -1] != x[-1, -1]))
+            last = int(other[-1]) + 1 if len(other) else 0
             rest = x[last:]
             if last:
-                yield send(runs(x[:last]))
+                yield from send(np.ascontiguousarray(x[:last]))
         if rest is not None and len(rest):
-            yield send(runs(rest))
+            yield from send(np.ascontiguousarray(rest))
 
     dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair")
     return dealt.mapInArrow(verify, "a long, b long").distinct()
 
 
-def near_groups(prints: DataFrame, max_distance: int = 3, lanes: int = 1) -> DataFrame:
-    """(node, f0 .., root) for each distinct fingerprint that has links.
-
-    ``prints`` holds f0 .. columns; ``node`` is the fingerprint itself (one
-    lane) or its 64-bit hash.
-    """
+def distinct_prints(prints: DataFrame, lanes: int) -> tuple[DataFrame, int, np.ndarray]:
+    """(the distinct fingerprints as a table (f0 .., node), their number, a sample of them)."""
     f = [f"f{k}" for k in range(lanes)]
     distinct = materialize(prints.select(*f).distinct().withColumn("node", F.col("f0") if lanes == 1 else F.xxhash64(*f)))
-    n = distinct.count()
     sample = distinct.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select(*f).collect()
-    seen = np.array([tuple(r) for r in sample], np.int64).reshape(-1, lanes)
-    if lanes == 1:
-        plans = [plan_search(seen, n, max_distance, 64)]
-    else:
-        plans = wide_plans(seen, lanes)
-    return components(links_within(distinct, plans, max_distance, lanes, n))
+    return distinct, distinct.count(), np.array([tuple(r) for r in sample], np.int64).reshape(-1, lanes)
+
 
+def near_groups(prints: DataFrame, max_distance: int = 3) -> DataFrame:
+    """(node, root) for each distinct fingerprint ``f0`` of ``prints`` that has links; ``node`` is the fingerprint."""
+    distinct, n, sample = distinct_prints(prints, 1)
+    return components(links_within(distinct, plan_search(sample, n, max_distance, 64), max_distance, 1))
 
-def wide_plans(sample: np.ndarray, lanes: int, tables: int = 4, width: int = 16) -> list[list[tuple[list[int], int]]]:
-    """For wide fingerprints: several divisions of the bits into partitions of ``width`` bits with threshold 0.
 
-    One division groups correlated bits, the others are fixed shuffles. Any
-    pair within ``64 * lanes / width - 1`` bits shares a partition for sure;
-    a pair further apart shares one with a chance that the tables raise.
+def allocate_gains(options: list[list[tuple[float, int]]], total: int) -> tuple[float, list[int]]:
+    """(cost, one option of each list) of the least cost whose gains add up to ``total`` or more, by dynamic programming; options are (cost, gain)."""
+    best: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}
+    for row in options:
+        step: dict[int, tuple[float, tuple | None]] = {}
+        for have, (cost, picks) in best.items():
+            for k, (c, gain) in enumerate(row):
+                s = min(total, have + gain)
+                if s not in step or cost + c < step[s][0]:
+                    step[s] = (cost + c, (k, picks))
+        best = step
+    cost, picks = best.get(total, (math.inf, None))
+    out = []
+    while picks is not None:
+        out.append(picks[0])
+        picks = picks[1]
+    return cost, out[::-1]
+
+
+def plan_wide(sample: np.ndarray, n: int, similarity: float, lanes: int, recall: float = RECALL, divisions: int = 8) -> list[tuple[list[int], int]]:
+    """(bits, threshold) of each partition that is probed among ``n`` wide fingerprints.
+
+    Partitions come from several divisions of the bits, one that groups
+    correlated bits and fixed shuffles of them. Of a pair of the wanted
+    similarity the share ``p`` of the bits differs; a partition of threshold t
+    misses it with the chance that more than t of its bits differ, and the
+    logarithms of these chances add up. Dynamic programming finds the thresholds
+    of the least cost (as in ``plan_search``) that leave a chance of at most
+    ``1 - recall``; of several widths near log2(n) the cheapest is taken.
     """
-    n = 64 * lanes
-    bits = bit_matrix(sample).astype(np.float64) if len(sample) else np.zeros((1, n))
-    out = [[(g, 0) for g in group_bits(bits, n // width)]]
+    wide, steps = 64 * lanes, 300
+    bits = bit_matrix(sample) if len(sample) else np.zeros((1, wide), np.uint8)
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    p += math.sqrt(p * (1 - p) / wide)
     rng = np.random.default_rng(7)
-    for _ in range(tables - 1):
-        order = rng.permutation(n)
-        out.append([(sorted(order[a : a + width].tolist()), 0) for a in range(0, n, width)])
-    return out
+    orders = [rng.permutation(wide) for _ in range(divisions - 1)]
+    each_step = -math.log(1 - recall) / steps
+    # bits that differ in random pairs of the sample
+    one, other = rng.integers(0, len(bits), (2, 20 * len(bits)))
+    apart = (bits[one] != bits[other])[one != other]
+    scale = n * n / max(1, len(apart))
+    # a partition of no bits meets every pair: the cheapest for few fingerprints
+    best: tuple[float, list[tuple[list[int], int]]] = (20 * n + n * n / 2, [([], 0)])
+    for width in sorted({int(min(40, max(6, math.log2(max(2, n)) + k))) for k in (-5, -3, -1, 1)}):
+        count = wide // width
+        groups = group_bits(bits.astype(np.float64), count)
+        for order in orders:
+            groups += [sorted(order[k * wide // count : (k + 1) * wide // count].tolist()) for k in range(count)]
+        options = []
+        for g in groups:
+            w = len(g)
+            seen = np.bincount(apart[:, g].sum(1), minlength=w + 1)
+            row, keys, pairs, met = [(0.0, 0)], 0.0, 0.0, 0.0
+            for t in range(3):
+                keys += math.comb(w, t) * n
+                pairs += max(seen[t] * scale, math.comb(w, t) / 2.0**w * n * n) / 2
+                met += math.comb(w, t) * p**t * (1 - p) ** (w - t)
+                row.append((20 * keys + pairs, int(-math.log1p(-met) / each_step)))
+            options.append(row)
+        cost, picks = allocate_gains(options, steps)
+        if cost < best[0]:
+            best = (cost, [(g, k - 1) for g, k in zip(groups, picks) if k])
+    return best[1]
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFrame:
+    """(node, shingles) for ``wanted (node, doc_id, text_hash)``: the distinct shingles of that document as 32-bit hashes. ``wanted`` is a written table."""
+    slim = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
+    small = broadcast_if_small(wanted.select("node", F.col("doc_id").alias("id"), "text_hash"), 48)
+    own = slim.join(small, (slim["text_hash"] == small["text_hash"]) & slim["doc_id"].eqNullSafe(small["id"])).select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique((shingle_hashes(t, words_each) >> np.uint64(32)).astype(np.uint32)).view(np.int32) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
+
+    # rows that repeat id and text give their set again
+    return materialize(own.mapInArrow(run, "node long, shingles array<int>").dropDuplicates(["node"]))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float, n_pairs: int) -> DataFrame:
+    """The links (a, b) of ``pairs`` whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    left = hot_lookup(pairs, sets.select(F.col("node").alias("a"), F.col("shingles").alias("own")), "a", n_pairs, share=1 / 500, how="inner")
+    both = hot_lookup(left, sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b", n_pairs, share=1 / 500, how="inner", hot=hot_nodes(pairs, "b", n_pairs))
+    common = F.size(F.array_intersect("own", "other"))
+    return both.where(common >= F.lit(similarity) * (F.size("own") + F.size("other") - common)).select("a", "b")
+
+
+def hot_nodes(pairs: DataFrame, side: str, n: int, share: float = 1 / 500) -> list:
+    return [r[0] for r in pairs.groupBy(side).count().where(F.col("count") > max(64, int(n * share))).select(side).collect()]
 
 
 def components_of(docs: DataFrame, words_each: int = 3, max_distance: int = 3) -> DataFrame:
@@ -278,31 +396,56 @@ def components_of(docs: DataFrame, words_each: int = 3, max_distance: int = 3) -
     rooted = least.join(near_groups(prints, max_distance), "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    from .common import hot_lookup
-
     by_node = hot_lookup(rooted.select("node", "root"), named, "root", rooted.count()).select(F.col("node").alias("f0"), "component_id")
     out = hot_lookup(prints, by_node, "f0", prints.count())
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
-    """``docs`` without near copies: of each group the row with the smallest (doc_id, text hash) stays.
+def near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+    """(doc_id, text_hash, n, stays) of each distinct document that has copies: ``n`` rows repeat it, one of its group ``stays``.
 
-    Uses ``64 * lanes`` bits; two texts link when their bits' angle says that
-    the Jaccard similarity of their shingles is ``similarity`` or more. Empty
-    texts form one group. Rows that repeat id and text are one document.
+    Links: pairs that the wide search meets, whose fingerprints differ by at
+    most the mean of such pairs and three standard deviations, and whose sets of
+    shingles have a Jaccard similarity of ``similarity`` or more. Texts of one
+    fingerprint are one node; texts without words are one.
     """
-    cosine = 2 * similarity / (1 + similarity)
-    max_distance = math.ceil(64 * lanes * math.acos(cosine) / math.pi + 2)
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    max_distance = math.ceil(64 * lanes * p + 3 * math.sqrt(64 * lanes * p * (1 - p)))
     f = [f"f{k}" for k in range(lanes)]
-    prints = materialize(fingerprints(docs, words_each, lanes).withColumn("node", F.xxhash64(*f)))
+    prints = materialize(fingerprints(docs, words_each, lanes, distinct=True).withColumn("node", F.xxhash64(*f)))
+    nodes, n, sample = distinct_prints(prints, lanes)
+    pairs = materialize(links_within(nodes, plan_wide(sample, n, similarity, lanes), max_distance, lanes))
+    n_pairs = pairs.count()
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
-    least = prints.groupBy("node").agg(F.min(key).alias("least"))
-    rooted = least.join(near_groups(prints, max_distance, lanes), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"))
-    left = docs.withColumn("__h", F.xxhash64(text_of()))
-    joined = left.join(kept, (F.col("__h") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__h"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    least = materialize(prints.groupBy("node").agg(F.min(key).alias("least")))
+    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(least.join(met, "node").select("node", "least.doc_id", "least.text_hash"))
+    links = verified(pairs, shingle_sets(docs, wanted, words_each), similarity, n_pairs)
+    rooted = materialize(least.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    kept = rooted.groupBy("root").agg(F.min("least").alias("kept"))
+    by_node = hot_lookup(rooted.select("node", "root"), kept, "root", rooted.count()).select("node", "kept")
+    each = prints.groupBy("node", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    fate = hot_lookup(each, by_node, "node", prints.count()).withColumn("stays", key.eqNullSafe(F.col("kept")))
+    return materialize(fate.where("n > 1 or not stays").select("doc_id", "text_hash", "n", "stays"))
+
+
+def drop_near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, lanes: int = 4) -> DataFrame:
+    """``docs`` without near copies: of each group the row with the smallest (doc_id, text hash) stays.
+
+    Groups are the components of links of ``near_copies``. Empty texts form
+    one group. Rows that repeat id and text are one document, of which one row
+    stays. Only rows of documents with copies are joined or compared again.
+    """
+    own, other, id_, n, stays, tie = free_names(docs.columns, "own", "other", "id", "n", "stays", "tie")
+    fate = near_copies(docs, words_each, similarity, lanes).toDF(id_, other, n, stays)
+    left = docs.withColumn(own, F.xxhash64(text_of()))
+    joined = left.join(broadcast_if_small(fate, 48), (F.col(own) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    single = joined.where(F.col(stays).isNull()).select(*names)
+    # of rows that repeat a document one is kept, whatever types the other columns have
+    again = materialize(joined.where(F.col(stays)).select(*names, own, F.monotonically_increasing_id().alias(tie)))
+    first = again.groupBy("doc_id", own).agg(F.min(tie).alias(tie)).select(tie)
+    return single.unionByName(again.join(first, tie, "left_semi").select(*names))
 
 
 def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

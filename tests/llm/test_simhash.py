@@ -87,3 +87,65 @@ def test_near_copies(spark, changed, together):
         other[i] = "changed"
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], "doc_id long, text string")
     assert simhash.drop_near_copies(docs).count() == (1 if together else 2)
+
+
+def jaccard(a, b, k=5):
+    x, y = ({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_copies_of_similarity_above_the_threshold_go(spark):
+    rng = np.random.default_rng(21)
+    rows, similar = [], {}
+    for i in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, rng.integers(80, 600))]
+        copy = list(words)
+        for j in rng.choice(len(words), int(len(words) * rng.uniform(0.001, 0.04)), replace=False):
+            copy[j] = f"c{rng.integers(0, 10**6)}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        similar[i] = jaccard(rows[-2][1], rows[-1][1])
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).select("doc_id").collect()}
+    assert all(2 * i in kept for i in similar)
+    near = [i for i, s in similar.items() if s >= 0.8]
+    assert len(near) > 100 and sum(2 * i + 1 not in kept for i in near) >= 0.97 * len(near)
+    assert all(2 * i + 1 in kept for i, s in similar.items() if s < 0.8)
+
+
+def test_forest_of_least_weight():
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        n, m = 12, 25
+        l, r, d = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 6, m)
+        got = simhash.spanning_forest(l, r, d, n)
+        label, weight, size = list(range(n)), 0, 0
+        for i in np.lexsort((r, l, d)):
+            a, b = label[l[i]], label[r[i]]
+            if a != b:
+                label, weight, size = [a if x == b else x for x in label], weight + d[i], size + 1
+        assert len(got) == size and d[got].sum() == weight
+
+
+def test_gains_against_all_choices():
+    from itertools import product
+
+    options = [[(0, 0), (3, 2), (5, 4)], [(0, 0), (2, 1), (9, 6)], [(0, 0), (4, 3)]]
+    cost, picks = simhash.allocate_gains(options, 5)
+    want = min(sum(o[k][0] for o, k in zip(options, ks)) for ks in product(range(3), range(3), range(2)) if sum(o[k][1] for o, k in zip(options, ks)) >= 5)
+    assert cost == want == sum(o[k][0] for o, k in zip(options, picks))
+
+
+def test_large_buckets_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    fps = sorted({int(x) for x in np.int64(12345) ^ (np.int64(1) << rng.integers(0, 60, (400, 3))).sum(1)})
+    got = {r.node: r.root for r in simhash.near_groups(spark.createDataFrame([(f,) for f in fps], "f0 long")).collect()}
+    links = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if (a ^ b).bit_count() <= 3]
+    want = groups(links, fps)
+    assert {f: got.get(f, f) for f in fps} == want
+
+
+def test_lines_said_often_are_no_similarity(spark):
+    line = "the same line is said again and again here. " * 400
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i, line + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 100))) for i in range(2)], "doc_id long, text string")
+    assert simhash.drop_near_copies(docs).count() == 2
