@@ -1,8 +1,9 @@
 """Quality: a linear-chain conditional random field over the lines of a text.
 
 Each line is good or bad; its features are its own and its neighbours'. The
-field is trained in numpy by gradient ascent on documents whose lines carry the
-document's label. A document's quality is the mean of its lines' marginal
+field is trained in numpy by gradient ascent. Only documents have labels: those
+of lines are latent, bound by their document's, and documents spliced together
+show the changes. A document's quality is the mean of its lines' marginal
 probabilities of being good, weighted by their lengths.
 """
 
@@ -25,6 +26,8 @@ SAMPLE_PER_CLASS = 1500
 #: Longer lines count as several, so one line can't stand for a whole book.
 LINE = 2000
 BASE = 14
+#: Lines of so much of a document's length have its label, in training.
+SHARE = 0.7
 FEATURES = 3 * BASE + 1
 
 
@@ -75,15 +78,18 @@ def line_features(lines: list[str]) -> np.ndarray:
     return f
 
 
-def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+def features_of(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(lines, FEATURES): a line's own, the previous and the next line's numbers and 1; and the lines' lengths."""
-    lines = lines_of(text)
     f = line_features(lines)
     before = np.vstack((np.zeros((1, BASE)), f[:-1]))
     after = np.vstack((f[1:], np.zeros((1, BASE))))
     return np.hstack((f, before, after, np.ones((len(f), 1)))), np.array([max(1, len(x)) for x in lines], float)
 
 
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    return features_of(lines_of(text))
+
+
 @dataclass
 class Field:
     """``emit``: weights of good against bad; ``move[a, b]``: weight of a line b after a line a (0 bad, 1 good)."""
@@ -126,46 +132,101 @@ def forward_backward(score: np.ndarray, move: np.ndarray, length: np.ndarray) ->
     return good, counts
 
 
-def train(sample: list[tuple[str, int]], rounds: int = 150, seed: int = 3) -> Field:
-    """Adam on the mean log-likelihood of the line labels, both classes of documents weighing the same."""
-    field = Field(np.zeros(FEATURES), np.zeros((2, 2)))
-    sample = [(features(t)[0][:120], y) for t, y in sample]
-    if not sample:
-        return field
-    rng = np.random.default_rng(seed)
-    y = np.array([s[1] for s in sample])
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    by_length = sorted(range(len(sample)), key=lambda i: len(sample[i][0]))
-    packs = []
-    for at in range(0, len(by_length), 128):
-        own = by_length[at : at + 128]
-        length = np.array([len(sample[i][0]) for i in own])
-        x = np.zeros((len(own), length.max(), FEATURES))
-        for k, i in enumerate(own):
-            x[k, : length[k]] = sample[i][0]
-        packs.append((x, length, y[own], weight[own]))
-    theta = np.zeros(FEATURES + 4)
+def packs_of(chains: list[tuple[np.ndarray, np.ndarray, float]], slots: int = 20_000) -> list[tuple]:
+    """(features, line labels, lengths, weights) of chains of like lengths together: at most 128 of them and ``slots`` lines with padding, or one chain."""
+    order = sorted(range(len(chains)), key=lambda i: len(chains[i][0]))
+    out, at = [], 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and end - at < 128 and (end - at + 1) * len(chains[order[end]][0]) <= slots:
+            end += 1
+        own = [chains[i] for i in order[at:end]]
+        length = np.array([len(c[0]) for c in own])
+        x, y = np.zeros((len(own), length.max(), FEATURES)), np.zeros((len(own), length.max()), np.int64)
+        for k, (f, labels, _) in enumerate(own):
+            x[k, : len(f)], y[k, : len(f)] = f, labels
+        out.append((x, y, length, np.array([c[2] for c in own])))
+        at = end
+    return out
+
+
+def ascend(field: Field, chains: list[tuple[np.ndarray, np.ndarray, float]], epochs: int, rng: np.random.Generator) -> Field:
+    """Adam on the mean log-likelihood of the chains' line labels, from ``field`` on; a chain weighs the same whatever its number of lines."""
+    packs = packs_of(chains)
+    theta = np.concatenate((field.emit, field.move.ravel()))
     m, v, step = np.zeros_like(theta), np.zeros_like(theta), 0
-    for _ in range(max(1, rounds // 5)):
+    for _ in range(epochs):
         for k in rng.permutation(len(packs)):
-            x, length, labels, w = packs[k]
+            x, y, length, w = packs[k]
             move = theta[FEATURES:].reshape(2, 2)
             good, counts = forward_backward(x @ theta[:FEATURES], move, length)
             live = np.arange(x.shape[1])[None] < length[:, None]
-            # a document weighs the same whatever its number of lines
             scale = w / length
-            gap = (labels[:, None] - good) * live * scale[:, None]
-            grad_e = np.einsum("nt,ntf->f", gap, x)
-            moves = np.zeros((len(x), 2, 2))
-            moves[np.arange(len(x)), labels, labels] = length - 1
+            grad_e = np.einsum("nt,ntf->f", (y - good) * live * scale[:, None], x)
+            moves = np.stack([((y[:, :-1] == a) & (y[:, 1:] == b) & live[:, 1:]).sum(1) for a in (0, 1) for b in (0, 1)], 1).reshape(-1, 2, 2)
             grad_m = ((moves - counts) * scale[:, None, None]).sum(0)
             grad = np.concatenate((grad_e, grad_m.ravel())) / len(x) - 1e-4 * theta
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            theta += 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            theta = theta + 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
     return Field(theta[:FEATURES], theta[FEATURES:].reshape(2, 2))
 
 
+def line_labels(field: Field, x: np.ndarray, size: np.ndarray, y: int) -> np.ndarray:
+    """The likelier label of each line, given that lines of at least ``SHARE`` of a document's length have its label ``y``.
+
+    The document's weight that its lines share is raised, by bisection, until
+    the expected share of length holds; it is not touched where it holds already.
+    """
+    score, length = (x @ field.emit)[None], np.array([len(x)])
+
+    def good(bias: float) -> np.ndarray:
+        return forward_backward(score + bias, field.move, length)[0][0]
+
+    sign = 1.0 if y else -1.0
+    lo, hi = 0.0, 0.0
+    share = lambda g: float(((g if y else 1 - g) * size).sum() / size.sum())
+    own = good(0.0)
+    if share(own) < SHARE:
+        hi = 1.0
+        while share(good(sign * hi)) < SHARE and hi < 64:
+            hi *= 2
+        for _ in range(8):
+            mid = (lo + hi) / 2
+            lo, hi = (lo, mid) if share(good(sign * mid)) >= SHARE else (mid, hi)
+        own = good(sign * hi)
+    return (own > 0.5).astype(np.int64)
+
+
+def train(sample: list[tuple[str, int]], epochs: int = 12, seed: int = 3) -> Field:
+    """Trains on documents and on documents spliced from two, both classes of documents weighing the same.
+
+    Line labels are latent: at first lines have their document's label, then the
+    likelier ones under the field so far, bound to the document's label by
+    ``line_labels``. In a spliced chain, the first lines of one document and the
+    last of another, labels change where the documents do, so changes are learnt.
+    """
+    field = Field(np.zeros(FEATURES), np.zeros((2, 2)))
+    if not sample:
+        return field
+    rng = np.random.default_rng(seed)
+    lines = [lines_of(t) for t, _ in sample]
+    y = [label for _, label in sample]
+    each = [0.5 * len(y) / max(1, y.count(k)) for k in (0, 1)]
+    whole = [features_of(own) for own in lines]
+    labels = [np.full(len(own), k) for own, k in zip(lines, y)]
+    pairs = rng.integers(0, len(sample), (len(sample), 2))
+    cuts = [(int(rng.integers(1, len(lines[a]) + 1)), int(rng.integers(0, len(lines[b])))) for a, b in pairs]
+    spliced = [features_of(lines[a][:i] + lines[b][j:])[0] for (a, b), (i, j) in zip(pairs, cuts)]
+    for turn in range(2):
+        chains = [(x, own, each[k]) for (x, _), own, k in zip(whole, labels, y)]
+        chains += [(x, np.concatenate((labels[a][:i], labels[b][j:])), 1.0) for x, (a, b), (i, j) in zip(spliced, pairs, cuts)]
+        field = ascend(field, chains, epochs, rng)
+        if not turn:
+            labels = [line_labels(field, x, size, k) for (x, size), k in zip(whole, y)]
+    return field
+
+
 def score_texts(field: Field, texts: Iterable[str]) -> Iterator[float]:
     """Length-weighted mean of the lines' probabilities of good; texts of like line counts share a pass."""
     texts = list(texts)
