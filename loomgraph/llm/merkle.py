@@ -3,9 +3,10 @@
 A paragraph is a line; its leaves are its sentences, long ones in steps of
 ``STEP`` characters. Paragraphs form sections: a section ends after a paragraph
 whose digest is divisible by ``SECTION``, so sections found in two texts line up
-again after an edit. Equal roots mean equal texts; where roots differ, only
-differing branches need a look, and the leaves that both trees hold, weighted by
-their characters, tell how alike the texts are.
+again after an edit. Equal roots mean equal texts; where roots differ, sections
+are paired off by their digests, then the paragraphs of the sections left over,
+then the leaves of the paragraphs left over. What pairs off, weighted by its
+characters, tells how alike the texts are, and the leaves left over locate edits.
 """
 
 from __future__ import annotations
@@ -30,69 +31,100 @@ def _digest(children: list[bytes]) -> bytes:
     return hashlib.blake2b(b"".join(children), digest_size=16).digest()
 
 
+class Branch:
+    """A node of a tree: ``digest``, ``chars`` of its leaves, ``children`` (empty in leaves), and ``at``, where its text begins."""
+
+    __slots__ = ("at", "chars", "children", "digest")
+
+    def __init__(self, digest: bytes, chars: int, at: int, children: list[Branch]) -> None:
+        self.digest, self.chars, self.at, self.children = digest, chars, at, children
+
+
 class Tree:
-    """The tree of one text: ``root``, ``sections`` as lists of paragraphs as lists of leaves (digest, characters)."""
+    """The tree of one text: ``root`` and ``sections``, whose children are paragraphs, whose children are leaves."""
 
-    __slots__ = ("chars", "leaves", "root", "sections")
+    __slots__ = ("chars", "root", "sections")
 
     def __init__(self, text: str) -> None:
         import xxhash
 
         one = xxhash.xxh3_128_digest
-        self.chars, self.leaves, self.sections = len(text), Counter(), []
-        tops, section, paragraphs = [], [], []
+        self.chars, self.sections = len(text), []
+        section: list[Branch] = []
+        at = 0
+
+        def close() -> None:
+            self.sections.append(Branch(_digest([p.digest for p in section]), sum(p.chars for p in section), section[0].at if section else at, list(section)))
+            section.clear()
+
         for line in text.split("\n"):
-            found = []
+            leaves, begin = [], at
             for piece in _LEAF.findall(line):
-                for at in range(0, len(piece), STEP):
-                    cut = piece[at : at + STEP]
-                    d = one(cut.encode("utf-8", "surrogatepass"))
-                    found.append((d, len(cut)))
+                for k in range(0, len(piece), STEP):
+                    cut = piece[k : k + STEP]
+                    leaves.append(Branch(one(cut.encode("utf-8", "surrogatepass")), len(cut), at, []))
+                    at += len(cut)
             # the line end belongs to the paragraph: "a\n" and "a" differ
-            paragraph = _digest([d for d, _ in found])
-            paragraphs.append((paragraph, found))
-            section.append(paragraph)
-            if paragraph[0] % SECTION == 0:
-                tops.append(_digest(section))
-                self.sections.append((tops[-1], paragraphs))
-                section, paragraphs = [], []
-        tops.append(_digest(section))
-        self.sections.append((tops[-1], paragraphs))
-        for _, ps in self.sections:
-            for _, found in ps:
-                self.leaves.update(found)
-        self.root = _digest([b"root", *tops])
+            section.append(Branch(_digest([x.digest for x in leaves]), at - begin, begin, leaves))
+            at += 1
+            if section[-1].digest[0] % SECTION == 0:
+                close()
+        close()
+        self.root = _digest([b"root", *(x.digest for x in self.sections)])
 
     @property
     def fingerprint(self) -> str:
         return self.root.hex()
 
 
+def pair_off(a: list[Branch], b: list[Branch]) -> tuple[int, list[Branch], list[Branch]]:
+    """(characters of the branches that pair off by equal digests, the branches of ``a`` and of ``b`` left over)."""
+    free = Counter(x.digest for x in a)
+    common, left = 0, []
+    for x in b:
+        if free.get(x.digest, 0):
+            free[x.digest] -= 1
+            common += x.chars
+        else:
+            left.append(x)
+    rest = []
+    # the last of equal branches stay, as the first ones paired off
+    for x in reversed(a):
+        if free.get(x.digest, 0):
+            free[x.digest] -= 1
+            rest.append(x)
+    return common, rest[::-1], left
+
+
+def descend(a: Tree, b: Tree) -> tuple[int, list[Branch]]:
+    """(characters in common, leaves of ``b`` that ``a`` lacks), from the root down: equal branches count whole, only differing ones are opened."""
+    if a.root == b.root:
+        return a.chars, []
+    common, own, other = 0, a.sections, b.sections
+    for level in ("sections", "paragraphs", "leaves"):
+        more, own, other = pair_off(own, other)
+        common += more
+        if level != "leaves":
+            own, other = ([c for x in xs for c in x.children] for xs in (own, other))
+    return common, other
+
+
 def likeness(a: Tree, b: Tree) -> float:
-    """1 for equal texts, else the share of characters in leaves that both have (0 to 1); an empty text is like the empty text only."""
+    """1 for equal texts, else the share of characters in branches that both have (0 to 1); an empty text is like the empty text only."""
     if a.root == b.root:
         return 1.0
-    few, many = sorted((a.leaves, b.leaves), key=len)
-    common = sum(k[1] * min(c, many[k]) for k, c in few.items() if k in many)
     whole = a.chars + b.chars
-    return min(1.0, 2.0 * common / whole) if whole else 0.0
+    return min(1.0, 2.0 * descend(a, b)[0] / whole) if whole else 0.0
 
 
 def locate_edits(a: Tree, b: Tree) -> list[tuple[int, int]]:
-    """Spans (start, end) of ``b``'s text whose leaves aren't in ``a``, found by walking down differing branches only."""
-    same_sections = {d for d, _ in a.sections}
-    same_paragraphs = {d for _, ps in a.sections for d, _ in ps}
-    out, at = [], 0
-    for d, ps in b.sections:
-        for p, leaves in ps:
-            for k, n in leaves:
-                if d not in same_sections and p not in same_paragraphs and (k, n) not in a.leaves:
-                    if out and out[-1][1] == at:
-                        out[-1] = (out[-1][0], at + n)
-                    else:
-                        out.append((at, at + n))
-                at += n
-            at += 1
+    """Spans (start, end) of ``b``'s text whose leaves aren't in the branches of ``a`` that differ from its own."""
+    out: list[tuple[int, int]] = []
+    for leaf in sorted(descend(a, b)[1], key=lambda x: x.at):
+        if out and out[-1][1] == leaf.at:
+            out[-1] = (out[-1][0], leaf.at + leaf.chars)
+        else:
+            out.append((leaf.at, leaf.at + leaf.chars))
     return out
 
 
@@ -102,18 +134,21 @@ def edit(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k] if k else text
 
 
-RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edits string"
 
 
 def compare(text: str, own: Tree, following: str, after: Tree) -> tuple:
     edited = edit(text, following)
     changed = own if edited == text else Tree(edited)
     sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return len(text), sha, own.fingerprint, changed.fingerprint, likeness(own, changed), likeness(own, after)
+    edits = ",".join(f"{a}-{b}" for a, b in locate_edits(own, changed))
+    return len(text), sha, own.fingerprint, changed.fingerprint, likeness(own, changed), likeness(own, after), edits
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, edits) of each row.
+
+    ``edits``: spans of the edited text that the tree locates, as ``start-end``, comma-joined.
 
     The next document is the one after it in descending doc_id (nulls last,
     ties by text hash); after the last comes the first, so a single row is its
@@ -137,7 +172,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
         def send(out: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*out))
-            kinds = [ids, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
+            kinds = [ids, pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64(), pa.string(), pa.int32(), pa.string(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
         ids = None
@@ -149,14 +184,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
                 for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                     tree = Tree(text)
                     if last is None:
-                        out.append((doc_id, *[None] * 6, part, "first", text))
+                        out.append((doc_id, *[None] * 7, part, "first", text))
                     else:
                         out.append((last[0], *compare(last[1], last[2], text, tree), part, None, None))
                     last = (doc_id, text, tree)
                 if out:
                     yield send(out)
         if last is not None:
-            yield send([(last[0], *[None] * 6, part, "last", last[1])])
+            yield send([(last[0], *[None] * 7, part, "last", last[1])])
 
     done = materialize(dealt.mapInArrow(run, schema))
     # two rows for each partition that has rows
@@ -173,7 +208,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
         own, after = pdf[pdf.edge == "last"].iloc[0], pdf[pdf.edge == "first"].iloc[0]
         row = compare(own.text, Tree(own.text), after.text, Tree(after.text))
-        return pd.DataFrame([(own.doc_id, *row)], columns=names[:7])
+        return pd.DataFrame([(own.doc_id, *row)], columns=names[:8])
 
     joined = edges.groupBy("pair").applyInPandas(join, f"doc_id {kind}, {RESULT}")
     return done.where("edge is null").drop("part", "edge", "text").unionByName(joined)
