@@ -15,11 +15,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_of
+from .common import free_names, materialize, table, text_of
 
 
-def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """(doc_id, text_hash, size, text_crc32, shard, slot) of each row of ``docs``.
+def assign_shards(docs: DataFrame, shards: int = 8, row: str | None = None) -> DataFrame:
+    """(doc_id, text_hash, size, text_crc32, shard, slot) of each row of ``docs``, and its ``row``, the name of a column of unique numbers.
 
     Order: doc_id (nulls first), then text hash; rows that repeat both are laid
     out in any order, which can't be told apart. A row goes to the shard that
@@ -29,9 +29,10 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
     """
     spark = docs.sparkSession
     raw = F.col("text").cast("string")
-    slim = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), (F.octet_length(text_of()) + F.lit(1)).cast("long").alias("size"), F.crc32(F.coalesce(raw, F.lit("")).cast("binary")).alias("text_crc32"))
+    slim = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), (F.octet_length(text_of()) + F.lit(1)).cast("long").alias("size"), F.crc32(F.coalesce(raw, F.lit("")).cast("binary")).alias("text_crc32"), (F.col(row) if row else F.monotonically_increasing_id()).alias("tie"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = slim.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(parts, "doc_id", "text_hash", "tie").sortWithinPartitions("doc_id", "text_hash", "tie").drop("tie")
+    keys = ["doc_id", "text_hash", "tie"]
+    dealt = slim.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rows, size = TaskContext.get().partitionId(), 0, 0
@@ -60,16 +61,20 @@ def assign_shards(docs: DataFrame, shards: int = 8) -> DataFrame:
         first.append((s, before))
         before += counts.get(s, 0)
     starts = spark.createDataFrame(first, "shard int, shard_row long")
-    return at.join(F.broadcast(starts), "shard").select("doc_id", "text_hash", "size", "text_crc32", "shard", (F.col("part_row") + F.col("row_before") - F.col("shard_row")).alias("slot"))
+    return at.join(F.broadcast(starts), "shard").select("doc_id", "text_hash", "size", "text_crc32", *([F.col("tie").alias(row)] if row else []), "shard", (F.col("part_row") + F.col("row_before") - F.col("shard_row")).alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
-    """``docs`` with the columns shard and slot; ready for ``write.partitionBy("shard")``."""
-    where = assign_shards(docs, shards).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("places"))
-    # repeated rows share their places one by one
-    left = docs.drop("shard", "slot").withColumn("__h", F.xxhash64(text_of())).dropDuplicates()
-    joined = left.join(where.withColumnRenamed("doc_id", "__id"), (F.col("__h") == F.col("text_hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    return joined.withColumn("__p", F.explode("places")).select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("shard", "slot")], F.col("__p.shard").alias("shard"), F.col("__p.slot").alias("slot"))
+    """``docs`` with the columns shard and slot (such columns of its own are replaced); ready for ``write.partitionBy("shard")``.
+
+    Rows are told apart by a number that is written with them, so rows that
+    repeat id and text, whatever their other columns, get one place each.
+    """
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    (row,) = free_names(docs.columns, "row")
+    left = materialize(docs.select(*[F.col(f"`{c}`") for c in names], F.monotonically_increasing_id().alias(row)))
+    places = assign_shards(left, shards, row).select(row, "shard", "slot")
+    return left.join(places, row).drop(row)
 
 
 def op6_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
