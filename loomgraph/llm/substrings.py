@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_lookup, materialize, table, text_of
+from .common import broadcast_if_small, free_names, hot_lookup, materialize, table, text_of
 
 #: One cut in so many bytes on average; a passage needs two cuts to be found.
 AVERAGE = 32
@@ -148,10 +148,14 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     id and text are one document and keep or lose the same runs. Repeats
     within one document stay. ``removed_spans`` are characters of the old text.
     """
-    repeated = repeated_chunks(docs, min_words).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("repeated").alias("__repeated"))
-    keep = [c for c in docs.columns if c not in ("removed_words", "removed_spans")]
-    left = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn("__h", F.xxhash64(text_of()))
-    both = left.join(repeated, (F.col("__h") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left").drop("__h", "__hash", "__id")
+    id_, other, own, list_ = free_names(docs.columns, "id", "other", "own", "repeated")
+    repeated = materialize(repeated_chunks(docs, min_words).toDF(id_, other, list_))
+    entries, rows = repeated.agg(F.coalesce(F.sum(F.size(list_)), F.lit(0)), F.count(F.lit(1))).first()
+    keep = [c for c in docs.columns if c.lower() not in ("removed_words", "removed_spans")]
+    left = docs.select(*[F.col(f"`{c}`") for c in keep]).withColumn(own, F.xxhash64(text_of()))
+    # the lists go to the texts where they are few, else both are shuffled
+    repeated = broadcast_if_small(repeated, 64 + 4 * entries // max(1, rows))
+    both = left.join(repeated, (F.col(own) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left").drop(own, other, id_)
     at_text, at_chars = keep.index("text"), keep.index("n_chars") if "n_chars" in keep else None
     span = "array<struct<start:int,end:int>>"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields[:-1]) + f", removed_words int, removed_spans {span}"

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomgraph.llm import decontamination, language_model, licenses, merkle, packing, quality, sharding, substrings, toxicity
@@ -95,6 +96,35 @@ def test_buckets_lie_together(spark, sf):
         assert own == sorted(own)
 
 
+def naive_likeness(a, b):
+    """Trees of plain strings, paired off level by level."""
+
+    def tree(text):
+        out, section = [], []
+        for line in text.split("\n"):
+            leaves = tuple(p[k : k + merkle.STEP] for p in merkle._LEAF.findall(line) for k in range(0, len(p), merkle.STEP))
+            section.append(leaves)
+            if merkle._digest([xxhash.xxh3_128_digest(x.encode()) for x in leaves])[0] % merkle.SECTION == 0:
+                out.append(tuple(section))
+                section = []
+        return [*out, tuple(section)]
+
+    def size(x):
+        return len(x) if isinstance(x, str) else sum(map(size, x))
+
+    xs, ys, common = Counter(tree(a)), Counter(tree(b)), 0
+    if a == b:
+        return 1.0
+    for _ in range(3):
+        both = xs & ys
+        common += sum(size(x) * n for x, n in both.items())
+        xs, ys = xs - both, ys - both
+        if all(isinstance(x, str) for x in [*xs, *ys]):
+            break
+        xs, ys = (Counter(c for x in zs.elements() for c in x) for zs in (xs, ys))
+    return 2 * common / (len(a) + len(b)) if a or b else 0.0
+
+
 def test_merkle(spark, sf, docs, odd, empty):
     got = {r.doc_id: r for r in merkle.op10_merkle_fingerprints(spark, sf).collect()}
     ids = sorted(docs, reverse=True)
@@ -107,6 +137,9 @@ def test_merkle(spark, sf, docs, odd, empty):
         assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
         assert prints.setdefault(r.fingerprint, text) == text
         assert r.edited_fingerprint == merkle.Tree(edited).fingerprint
+        assert r.near_edited == pytest.approx(naive_likeness(text, edited)) and r.near_next == pytest.approx(naive_likeness(text, after))
+        spans = [tuple(map(int, s.split("-"))) for s in r.edits.split(",") if s]
+        assert bool(spans) == (text != edited) and all(0 <= a < b <= len(edited) for a, b in spans)
     assert len(prints) == len(set(docs.values()))
     assert sum(r.near_edited > r.near_next for r in got.values()) > 0.97 * len(got)
     assert len(merkle.fingerprint_documents(odd).collect()) == odd.count()
@@ -302,6 +335,39 @@ def test_quality(spark, sf, odd, empty):
     assert quality.score_documents(empty, quality.train([])).count() == 0
 
 
+def test_field_learns_changes_within_a_document():
+    rng = np.random.default_rng(7)
+
+    def prose(n):
+        return ["The " + " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(12)) + "." for _ in range(n)]
+
+    def junk(n):
+        return ["| ".join(["##", *("%d" % x for x in rng.integers(0, 99, 9))]) for _ in range(n)]
+
+    # one line in ten is of the other kind
+    sample = [("\n".join(prose(10 + k % 7) + junk(1)), 1) for k in range(60)] + [("\n".join(junk(10 + k % 7) + prose(1)), 0) for k in range(60)]
+    field = quality.train(sample)
+    x, size = quality.features("\n".join(junk(12) + prose(12)))
+    good = quality.forward_backward((x @ field.emit)[None], field.move, np.array([24]))[0][0]
+    assert good[:12].max() < 0.5 < good[12:].min() and good[12:].mean() - good[:12].mean() > 0.9
+    assert field.move[0, 0] + field.move[1, 1] > field.move[0, 1] + field.move[1, 0]
+    scores = list(quality.score_texts(field, ["\n".join(prose(20)), "\n".join(prose(10) + junk(10)), "\n".join(junk(20))]))
+    assert scores[0] > scores[1] > scores[2]
+    x, size = quality.features("\n".join(prose(10) + junk(10)))
+    free = quality.forward_backward((x @ field.emit)[None], field.move, np.array([20]))[0][0] > 0.5
+    for y in (0, 1):
+        labels = quality.line_labels(field, x, size, y)
+        assert ((labels == y) * size).sum() >= (quality.SHARE - 0.1) * size.sum()
+        # lines of the label's own kind keep it
+        assert (labels[free == y] == y).all()
+
+
+def test_long_documents_are_trained_on_whole():
+    chains = [(np.zeros((n, quality.FEATURES)), np.zeros(n, np.int64), 1.0) for n in (1, 3, 400, 30_000)]
+    packs = quality.packs_of(chains)
+    assert sum(p[2].sum() for p in packs) == 30_404
+
+
 def test_forward_backward_against_all_paths():
     from itertools import product
 
