@@ -1,18 +1,23 @@
 """Language-model scores: unigram base and a log-bilinear model.
 
-The log-bilinear model gives the next word's class from the last one's:
-score(a, b) = q_a . r_b + bias_b. Classes are the most frequent tokens and one
-for all others; the latter's members share their class by smoothed counts. The
-model is trained in numpy with noise-contrastive estimation on the class
-bigrams of every training document, and its matrix products, normalised, are
-the log-probabilities of tokens. Token counts cover all training documents;
-rare words meet their counts in a shuffled join.
+Every word has a class: the most frequent words one of their own, all others one
+by their last two bytes, so a word never seen has one too. The log-bilinear
+model gives the next word's class from the classes a, b of the last two words,
+with matrices of their own for either position:
+score(c | a, b) = q1_a . r1_c + bias1_c + SECOND (q2_b . r2_c + bias2_c - log u_c),
+u the classes' shares. The sum over all c, for all pairs (a, b) at once, is one
+product of matrices, so scores are normalised exactly. Both positions are
+trained in numpy with noise-contrastive estimation on the class pairs of every
+training document. Within a class words share by smoothed counts. Token counts
+cover all training documents; rare words meet their counts in a shuffled join.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, crc_of_id, materialize, table, text_of
 
-CLASSES, DIM = 768, 24
+#: Words with a class of their own, and classes of the others by their last two bytes.
+TOP, SUFFIXES, DIM = 446, 320, 48
+#: Weight of the position two words back; both positions tell in part the same.
+SECOND = 0.6
 #: Pseudo-counts of the class unigram in each context, so rare contexts learn no noise.
 PRIOR = 40.0
 #: Most frequent tokens that every task holds with their counts.
@@ -82,34 +90,48 @@ def head_of(counts: DataFrame, size: int = HEAD) -> list[tuple[bytes, int]]:
 
 
 class Classes(dict):
-    """Token to class; every other token is class 0."""
+    """Word to class: 0 the end, then those given, then by the last two bytes."""
+
+    def __init__(self, top: list[bytes]) -> None:
+        super().__init__({END: 0, **{w: i + 1 for i, w in enumerate(top)}})
+        self.first = len(top) + 1
+        self.size = self.first + SUFFIXES
 
     def __missing__(self, word: bytes) -> int:
-        return 0
+        return self.first + zlib.crc32(word[-2:]) % SUFFIXES
+
+
+def suffix_totals(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """For each class (tokens, distinct words) of all counted words."""
+    of = (F.crc32(F.substring("word", -2, 2)) % SUFFIXES).alias("k")
+    tokens, words = np.zeros(classes.size), np.zeros(classes.size)
+    for k, t, d in counts.groupBy(of).agg(F.sum("c"), F.count(F.lit(1))).collect():  # at most SUFFIXES rows
+        tokens[classes.first + k], words[classes.first + k] = t, d
+    return tokens, words
 
 
-def class_bigrams(train: DataFrame, classes: dict[bytes, int], size: int) -> np.ndarray:
-    """Counts of (class, next class) over all tokens of ``train``; a document begins after an end."""
+def class_pairs(train: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of (class, next class) and (class, class after next) over all tokens of ``train``; a document begins after two ends."""
+    size = classes.size
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = Classes(classes)
-        whole = np.zeros(size * size, np.int64)
+        whole = np.zeros(2 * size * size, np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                ids = [of[END]]
+                cells = []
                 for text in batch.slice(at, 256).column(0).to_pylist():
-                    ids.extend(map(of.__getitem__, tokens_of(text)))
-                x = np.array(ids, np.int64)
-                cell, times = np.unique(x[:-1] * size + x[1:], return_counts=True)
+                    x = np.array([0, 0, *map(classes.__getitem__, tokens_of(text))], np.int64)
+                    cells += [x[1:-1] * size + x[2:], (size + x[:-2]) * size + x[2:]]
+                cell, times = np.unique(np.concatenate(cells), return_counts=True)
                 whole[cell] += times
         cell = np.flatnonzero(whole)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(whole[cell])], names=["cell", "n"])
 
-    out = np.zeros(size * size)
-    # at most size * size rows
+    out = np.zeros(2 * size * size)
+    # at most 2 * size * size rows
     found = train.select(text_of().alias("text")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out[found.column(0).to_numpy()] = found.column(1).to_numpy()
-    return out.reshape(size, size)
+    return tuple(out.reshape(2, size, size))
 
 
 def train_bilinear(bigrams: np.ndarray, dim: int = DIM, noise: int = 10, rounds: int = 250, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -154,6 +176,29 @@ def log10_table(q: np.ndarray, r: np.ndarray, bias: np.ndarray) -> np.ndarray:
     return ((z - np.log(np.exp(z).sum(1, keepdims=True))) / np.log(10)).astype(np.float32)
 
 
+@dataclass
+class Bilinear:
+    """log10 P(c | a, b) = ``near[a, c] + far[b, c] - norm[a, b]``."""
+
+    near: np.ndarray
+    far: np.ndarray
+    norm: np.ndarray
+
+    def log10(self, ids: np.ndarray) -> np.ndarray:
+        """Of each of a document's classes."""
+        a, b = np.concatenate(([0], ids[:-1])), np.concatenate(([0, 0], ids[:-2]))[: len(ids)]
+        return self.near[a, ids].astype(np.float64) + self.far[b, ids] - self.norm[a, b]
+
+
+def fit_bilinear(first: np.ndarray, second: np.ndarray) -> Bilinear:
+    """From the counts of ``class_pairs``."""
+    share = (first.sum(0) + 1) / (first.sum() + len(first))
+    near = log10_table(*train_bilinear(first)).astype(np.float64)
+    far = SECOND * (log10_table(*train_bilinear(second)).astype(np.float64) - np.log10(share))
+    norm = np.log10((10.0**near) @ (10.0**far).T)
+    return Bilinear(near.astype(np.float32), far.astype(np.float32), norm.astype(np.float32))
+
+
 def score_documents(docs: DataFrame, train_where=None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
@@ -168,20 +213,25 @@ def score_documents(docs: DataFrame, train_where=None) -> DataFrame:
     counts = materialize(token_counts(train))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     head = head_of(counts)
-    top = [w for w, _ in head[: CLASSES - 2] if w != END]
-    classes = {END: 1, **{w: i + 2 for i, w in enumerate(top)}}
-    size = len(classes) + 1
-    logp = log10_table(*train_bilinear(class_bigrams(train, classes, size)))
-    end_count = dict(head).get(END, 0)
-    other_total = total - end_count - sum(c for w, c in head[: CLASSES - 2] if w != END)
-    other_distinct = max(0, distinct - len(classes))
-    base_norm, other_norm = float(np.log10(total + distinct + 1)), float(np.log10(other_total + other_distinct + 1))
-    # bounded by HEAD words and CLASSES^2 numbers
-    shared = spark.sparkContext.broadcast(({w: i for i, (w, _) in enumerate(head)}, np.array([c for _, c in head], np.float64), np.array([classes.get(w, 0) for w, _ in head], np.int64), logp))
+    classes = Classes([w for w, _ in head if w != END][:TOP])
+    model = fit_bilinear(*class_pairs(train, classes))
+    tokens, words = suffix_totals(counts, classes)
+    known = dict(head)
+    for w in [END, *classes]:
+        if known.get(w, 0):
+            k = classes.first + zlib.crc32(w[-2:]) % SUFFIXES
+            tokens[k] -= known[w]
+            words[k] -= 1
+            known[w] = 0
+    base_norm = float(np.log10(total + distinct + 1))
+    # of words in classes of their own nothing is left to share
+    norms = np.where(np.arange(classes.size) < classes.first, 0.0, np.log10(tokens + words + 1))
+    # bounded by HEAD words and 3 * (TOP + SUFFIXES)^2 numbers
+    shared = spark.sparkContext.broadcast(({w: i for i, (w, _) in enumerate(head)}, np.array([c for _, c in head], np.float64), np.array([classes[w] for w, _ in head], np.int64), model, norms, classes))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, count, klass, table_ = shared.value
+        place, count, klass, own, norm, of = shared.value
         count, klass = np.append(count, 0.0), np.append(klass, 0)
         log_count, rest = np.log10(count + 1), len(count) - 1
         for batch in batches:
@@ -193,13 +243,13 @@ def score_documents(docs: DataFrame, train_where=None) -> DataFrame:
                     get = place.get
                     ids = np.fromiter((get(w, rest) for w in words), np.int64, len(words))
                     k = klass[ids]
-                    before = np.concatenate(([1], k[:-1]))
-                    own = float(table_[before, k].sum(dtype=np.float64))
+                    unseen = np.flatnonzero(ids == rest)
+                    k[unseen] = [of[words[i]] for i in unseen.tolist()]
                     logs = log_count[ids]
-                    unknown = k == 0
-                    model = own + float(logs[unknown].sum()) - other_norm * int(unknown.sum())
-                    rare = Counter(words[i] for i in np.flatnonzero(ids == rest).tolist())
-                    for c, v in zip(cols, (len(words), int((count[ids] > 0).sum()), float(logs.sum()) - len(words) * base_norm, model, list(rare), list(rare.values()))):
+                    shares = (k >= of.first) * logs - norm[k]
+                    model_ = float((own.log10(k) + shares).sum())
+                    rare = Counter(words[i] for i in unseen.tolist())
+                    for c, v in zip(cols, (len(words), int((count[ids] > 0).sum()), float(logs.sum()) - len(words) * base_norm, model_, list(rare), list(rare.values()))):
                         c.append(v)
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=["doc_id", "n_tokens", "n_known", "base", "model", "rare", "times"])

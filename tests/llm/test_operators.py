@@ -193,6 +193,38 @@ def test_language_model(spark, sf, docs, odd, empty):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score < 0
     out = [r for r in rows.values() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+    # the scores anew, in plain Python, from the same model; and against smoothed bigrams of the classes
+    M = language_model
+    raw = {d: [t.encode() if t is not None else M.END for t in ts] for d, ts in tokens.items()}
+    seen = Counter(t for d in docs if not held[d] for t in raw[d])
+    classes = M.Classes([w for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0])) if w != M.END][: M.TOP])
+    pairs = np.zeros((2, classes.size, classes.size))
+    for d in docs:
+        if not held[d]:
+            x = [0, 0, *(classes[t] for t in raw[d])]
+            for a, b, c in zip(x[1:], x, x[2:]):
+                pairs[0, a, c] += 1
+                pairs[1, b, c] += 1
+    got = M.class_pairs(table(spark, sf, "documents").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2), classes)
+    assert (got[0] == pairs[0]).all() and (got[1] == pairs[1]).all()
+    model = M.fit_bilinear(*got)
+    share, kinds = Counter(), Counter()
+    for w, c in seen.items():
+        if w not in classes:
+            share[classes[w]] += c
+            kinds[classes[w]] += 1
+    uni = (pairs[0].sum(0) + 1) / (pairs[0].sum() + classes.size)
+    bigram = (pairs[0] + M.PRIOR * uni) / (pairs[0].sum(1, keepdims=True) + M.PRIOR)
+    plain = 0.0
+    for d in docs:
+        x = [classes[t] for t in raw[d]]
+        inner = sum(math.log10((seen[t] + 1) / (share[k] + kinds[k] + 1)) for t, k in zip(raw[d], x) if t not in classes)
+        z = [sum(10 ** (float(model.near[a, c]) + float(model.far[b, c])) for c in range(classes.size)) for a, b in list(zip([0, *x], [0, 0, *x]))[: min(3, len(x))]]
+        assert np.allclose(np.log10(z), [model.norm[a, b] for a, b in zip([0, *x], [0, 0, *x][: len(z)])], atol=1e-4)
+        assert rows[d].score == pytest.approx(float(model.log10(np.array(x)).sum()) + inner, rel=1e-5)
+        if held[d]:
+            plain += sum(math.log10(bigram[a, c]) for a, c in zip([0, *x], x)) + inner
+    assert sum(r.score for r in out) > plain
     assert language_model.score_documents(odd).count() == odd.count()
     assert language_model.score_documents(empty).count() == 0
 
