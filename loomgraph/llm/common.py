@@ -13,6 +13,7 @@ Conventions that hold for all operators of this package:
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -67,6 +68,48 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to Python at once: a batch of whole texts stays some megabytes.
+BATCH_ROWS = 1000
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of at most ``BATCH_ROWS`` rows, which the session's conf says from then on.
+
+    A task gives the memory that it has freed back to the system at its end, since workers outlive tasks.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        hand_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def hand_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library keeps what it likes
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: Callable[[pa.RecordBatch], int], least: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of ``size`` ``least`` or more, but for the last."""
+    held, have = [], 0
+    for batch in batches:
+        held.append(batch)
+        have += size(batch)
+        if have >= least:
+            yield pa.concat_batches(held) if len(held) > 1 else held[0]
+            held, have = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def text_of(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
@@ -105,7 +148,7 @@ def add_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[Iter
                 keep_fields = [part.schema.field(i) for i in range(part.num_columns) if i != k]
                 yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(keep_fields + list(arrow)))
 
-    return source.mapInArrow(run, schema)
+    return map_batches(source, run, schema)
 
 
 def hot_lookup(big: DataFrame, small: DataFrame, key: str, n_big: int, share: float = 1 / 2000, how: str = "left", hot: list | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_of_id, materialize, table, text_of
+from .common import LOWER, crc_of_id, map_batches, materialize, table, text_of
 
 #: Words with a class of their own, and classes of the others by their last two bytes.
 TOP, SUFFIXES, DIM = 446, 320, 48
@@ -69,7 +69,7 @@ def token_counts(train: DataFrame) -> DataFrame:
                 yield send()
         yield send()
 
-    return train.select(text_of().alias("text")).mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_batches(train.select(text_of().alias("text")), count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def head_of(counts: DataFrame, size: int = HEAD) -> list[tuple[bytes, int]]:
@@ -129,7 +129,7 @@ def class_pairs(train: DataFrame, classes: Classes) -> tuple[np.ndarray, np.ndar
 
     out = np.zeros(2 * size * size)
     # at most 2 * size * size rows
-    found = train.select(text_of().alias("text")).mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = map_batches(train.select(text_of().alias("text")), count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out[found.column(0).to_numpy()] = found.column(1).to_numpy()
     return tuple(out.reshape(2, size, size))
 
@@ -254,7 +254,7 @@ def score_documents(docs: DataFrame, train_where=None) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=["doc_id", "n_tokens", "n_known", "base", "model", "rare", "times"])
 
-    first = docs.select("doc_id", text_of().alias("text")).mapInArrow(score, f"doc_id {kind}, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<int>")
+    first = map_batches(docs.select("doc_id", text_of().alias("text")), score, f"doc_id {kind}, n_tokens long, n_known long, base double, model double, rare array<binary>, times array<int>")
     row = F.monotonically_increasing_id()
     scored = materialize(first.withColumn("row", row))
     words = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))

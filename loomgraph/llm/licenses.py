@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, add_columns, table, text_of
+from .common import LOWER, add_columns, map_batches, table, text_of
 
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -125,7 +125,7 @@ def document_frequencies(docs: DataFrame) -> tuple[dict[bytes, int], int]:
         out = [*seen.items(), (b"", n)]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in out], pa.binary()), pa.array([c for _, c in out], pa.int64())], names=["word", "n"])
 
-    rows = docs.select(text_of().alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = map_batches(docs.select(text_of().alias("text")), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     got = {bytes(r.word): r.n for r in rows}
     return got, got.pop(b"", 0)
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_of
+from .common import map_batches, materialize, table, text_of
 
 STEP, SECTION = 24, 8
 _LEAF = re.compile(r"[^.!?|]+[.!?|]*\s*|[.!?|]+\s*")
@@ -193,7 +193,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         if last is not None:
             yield send([(last[0], *[None] * 7, part, "last", last[1])])
 
-    done = materialize(dealt.mapInArrow(run, schema))
+    done = materialize(map_batches(dealt, run, schema))
     # two rows for each partition that has rows
     full = [r.part for r in done.where("edge = 'first'").select("part").orderBy("part").collect()]
     if not full:

@@ -17,14 +17,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_of
+from .common import gathered, map_batches, table, text_of
 
 #: Entries of a generation of the cache; two are kept, so pieces in use never go.
-CACHE = 400_000
+CACHE = 200_000
+#: Marks of pieces met once; a piece is kept when it is met again.
+DOOR = 1 << 21
 #: Longer words go through the tokenizer without being kept.
 LONG_WORD = 32
 #: Bytes of text that are cut into words at once; a longer text is a slice by itself.
-SLICE = 8 << 20
+SLICE = 6 << 20
 
 _PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
 #: Words that normalisation leaves alone but for case, one character for one.
@@ -53,7 +55,9 @@ class WordCache:
 
     The ids of pieces live in two generations: new ones go to the young, and
     when that is full it becomes the old one; a piece found in the old one moves
-    up. So the cache is bounded and keeps what the texts use, whatever their number.
+    up. A piece met for the first time only leaves a mark, so the many that never
+    come again take no room. So the cache is bounded and keeps what the texts
+    use, whatever their number.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,6 +66,7 @@ class WordCache:
         self.tokenizer = Tokenizer.from_file(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.door, self.marks = bytearray(DOOR), 0
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.byte_chars = dict(zip(plain + rest, map(chr, plain + [256 + i for i in range(len(rest))])))
@@ -80,12 +85,20 @@ class WordCache:
             word = words[i]
             ids = self.old.get(word)
             if ids is None:
-                ids = make(word) if word else b""
-            found[i] = ids
+                found[i] = ids = make(word) if word else b""
+                at = hash(word) % DOOR
+                if not self.door[at]:
+                    self.door[at] = 1
+                    self.marks += 1
+                    continue
+            else:
+                found[i] = ids
             if len(word) <= LONG_WORD:
                 if len(self.young) >= CACHE:
                     self.old, self.young = self.young, {}
                 self.young[word] = ids
+        if self.marks > DOOR // 2:
+            self.door, self.marks = bytearray(DOOR), 0
         return found
 
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +184,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = cache_of(tokenizer)
-        for batch in batches:
+        for batch in gathered(batches, lambda b: b.column(1).nbytes, SLICE):
             for at, rows in slices(batch.column(1)):
                 part = batch.slice(at, rows)
                 ids, counts = words.encode_all(part.column(1))
@@ -188,7 +201,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1)
                     names=["doc_id", "start", "length", "tokens", "doc_tokens"],
                 )
 
-    pieces = source.mapInArrow(run, f"doc_id {kind}, start long, length long, tokens binary, doc_tokens long")
+    pieces = map_batches(source, run, f"doc_id {kind}, start long, length long, tokens binary, doc_tokens long")
     bucket = F.log2("length").cast("int")
     return pieces.select("*", (F.shiftleft(bucket.cast("long"), 56) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), bucket.alias("bucket"))
 

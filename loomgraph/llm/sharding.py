@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, materialize, table, text_of
+from .common import free_names, map_batches, materialize, table, text_of
 
 
 def assign_shards(docs: DataFrame, shards: int = 8, row: str | None = None) -> DataFrame:
@@ -43,7 +43,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, row: str | None = None) -> D
             rows, size = rows + n, size + (int(ends[-1]) if n else 0)
             yield pa.RecordBatch.from_arrays([*b.columns, *own], names=[*b.schema.names, "part", "row_before", "byte_before"])
 
-    placed = materialize(dealt.mapInArrow(place, dealt.schema.simpleString()[7:-1] + ", part long, row_before long, byte_before long"))
+    placed = materialize(map_batches(dealt, place, dealt.schema.simpleString()[7:-1] + ", part long, row_before long, byte_before long"))
     # one row for each partition
     totals = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).orderBy("part").collect()
     rows = np.concatenate(([0], np.cumsum([r.n for r in totals]))).astype(np.int64)

@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, add_columns, broadcast_if_small, components, free_names, hot_lookup, materialize, table, text_of
+from .common import LOWER, add_columns, broadcast_if_small, components, free_names, gathered, hot_lookup, map_batches, materialize, table, text_of
 
 #: Fingerprints that the cost model looks at; it steers the work, never the result.
 SAMPLE = 2000
 #: Members of one bucket that a task compares at once; larger buckets are dealt out in pairs of blocks.
 BLOCK = 2048
 #: Pairs whose fingerprints a task compares at once.
-PAIRS = 1 << 21
+PAIRS = 1 << 19
 #: Chance that the wide search meets a pair of just the wanted similarity whose bits are a standard deviation further apart than such pairs' mean.
 RECALL = 0.95
 
@@ -236,7 +236,7 @@ def links_within(nodes: DataFrame, parts: list[tuple[list[int], int]], max_dista
 
     wide = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), *[T.StructField(f"f{k}", T.LongType()) for k in range(lanes)], T.StructField("probe", T.BooleanType())])
     slim = nodes.select("node", *[f"f{k}" for k in range(lanes)])
-    keyed = slim.mapInArrow(keys, wide)
+    keyed = map_batches(slim, keys, wide)
     # a bucket above BLOCK is dealt in pairs of blocks, whatever the input
     large = materialize(keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
     n_large = large.count()
@@ -259,7 +259,7 @@ def links_within(nodes: DataFrame, parts: list[tuple[list[int], int]], max_dista
                 a, b = a[apart], b[apart]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
-        for batch in batches:
+        for batch in gathered(batches, lambda b: b.num_rows, 1 << 14):
             x = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], 1)
             x = x if rest is None else np.concatenate((rest, x))
             if not len(x):
@@ -273,7 +273,7 @@ def links_within(nodes: DataFrame, parts: list[tuple[list[int], int]], max_dista
             yield from send(np.ascontiguousarray(rest))
 
     dealt = dealt.repartition("key", "pair").sortWithinPartitions("key", "pair")
-    return dealt.mapInArrow(verify, "a long, b long").distinct()
+    return map_batches(dealt, verify, "a long, b long").distinct()
 
 
 def distinct_prints(prints: DataFrame, lanes: int) -> tuple[DataFrame, int, np.ndarray]:
@@ -369,7 +369,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, words_each: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
 
     # rows that repeat id and text give their set again
-    return materialize(own.mapInArrow(run, "node long, shingles array<int>").dropDuplicates(["node"]))
+    return materialize(map_batches(own, run, "node long, shingles array<int>").dropDuplicates(["node"]))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float, n_pairs: int) -> DataFrame:

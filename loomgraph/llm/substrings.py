@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, free_names, hot_lookup, materialize, table, text_of
+from .common import broadcast_if_small, free_names, hot_lookup, map_batches, materialize, table, text_of
 
 #: One cut in so many bytes on average; a passage needs two cuts to be found.
 AVERAGE = 32
@@ -129,7 +129,7 @@ def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 digests = [runs(t, min_words) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "digests"])
 
-    chunks = materialize(slim.mapInArrow(run, f"doc_id {kind}, text_hash long, digests array<long>"))
+    chunks = materialize(map_batches(slim, run, f"doc_id {kind}, text_hash long, digests array<long>"))
     n = chunks.agg(F.sum(F.size("digests"))).first()[0] or 0
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     each = chunks.select(own.alias("own"), F.explode(F.array_distinct("digests")).alias("digest"))
@@ -176,7 +176,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 cols.append(pa.array([[{"start": a, "end": b} for a, b in d[1]] for d in done], kind))
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "removed_words", "removed_spans"])
 
-    return both.mapInArrow(run, schema)
+    return map_batches(both, run, schema)
 
 
 def op3_gear_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,7 @@ def test_word_cache_forgets_only_what_is_unused(monkeypatch):
     for k in range(40):
         text = " ".join(["always", *(f"w{k}x{i}" for i in range(9)), "Çe", "l'été"])
         assert np.frombuffer(words.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
-        assert len(words.young) <= 50 and len(words.old) <= 50 and ("always" in words.young or "always" in words.old)
+        assert len(words.young) <= 50 and len(words.old) <= 50 and (not k or "always" in words.young or "always" in words.old)
 
 
 def test_every_character_is_tokenised_alike():
