@@ -20,15 +20,16 @@ from pyspark.sql import functions as F
 from .common import gathered, map_batches, table, text_of
 
 #: Entries of a generation of the cache; two are kept, so pieces in use never go.
-CACHE = 200_000
+CACHE = 150_000
 #: Marks of pieces met once; a piece is kept when it is met again.
 DOOR = 1 << 21
 #: Longer words go through the tokenizer without being kept.
 LONG_WORD = 32
-#: Bytes of text that are cut into words at once; a longer text is a slice by itself.
-SLICE = 6 << 20
+#: Bytes of text that are gathered to be cut into words at once.
+SLICE = 4 << 20
 
 _PIECES = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+)"
+_MIXED = r"[^\p{L}]"
 #: Words that normalisation leaves alone but for case, one character for one.
 _PLAIN = r"^[\x{21}-\x{7e}\x{a1}-\x{12f}\x{131}-\x{17f}]+$"
 #: Arrow splits there, the tokenizer doesn't.
@@ -39,8 +40,12 @@ def ragged(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, codes: np.nd
     """The stretches ``flat[begins[c] : begins[c] + sizes[c]]`` of all ``codes`` one after another, and where each begins (and the end)."""
     lens = sizes[codes]
     upto = np.concatenate(([0], np.cumsum(lens)))
-    place = np.repeat(begins[codes] - upto[:-1], lens)
-    place += np.arange(upto[-1])
+    first = begins[codes] - upto[:-1]
+    # a run of texts has far fewer than 2^31 ids; narrow numbers halve the memory
+    narrow = np.int32 if max(len(flat), int(upto[-1])) < 2**31 - 1 else np.int64
+    place = np.repeat(first.astype(narrow), lens)
+    del first, lens
+    place += np.arange(len(place), dtype=narrow)
     return flat[place], upto
 
 
@@ -104,7 +109,10 @@ class WordCache:
     def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, begins, sizes) of distinct words."""
         plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
-        pieces = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(words.filter(pa.array(plain))), _PIECES, r"\1 "), " ")
+        low = pc.utf8_lower(words.filter(pa.array(plain)))
+        # most words are letters alone, one piece
+        mixed = pc.match_substring_regex(low, _MIXED)
+        pieces = pc.split_pattern(pc.replace_with_mask(low, mixed, pc.replace_substring_regex(low.filter(mixed), _PIECES, r"\1 ")), " ")
         coded = pieces.values.dictionary_encode()
         found = self.get(coded.dictionary.to_pylist(), self.piece)
         flat, upto = ragged(*table_of(found), coded.indices.to_numpy(zero_copy_only=False))
@@ -120,11 +128,13 @@ class WordCache:
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text); only distinct pieces of words are seen one by one."""
         odd = pc.match_substring_regex(texts, _ODD_SPACE)
-        words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
-        coded = words.values.dictionary_encode()
+        some = pc.any(odd).as_py()
+        words = pc.utf8_split_whitespace(pc.if_else(odd, "", texts) if some else texts)
+        coded, ends = words.values.dictionary_encode(), np.array(words.offsets)
+        del words
         ids, upto = ragged(*self.words(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False))
-        ends = upto[np.asarray(words.offsets)]
-        if not pc.any(odd).as_py():
+        ends = upto[ends]
+        if not some:
             return ids, np.diff(ends)
         parts = [self.whole(t.as_py()) if o.as_py() else ids[a:b].tobytes() for t, o, a, b in zip(texts, odd, ends[:-1].tolist(), ends[1:].tolist())]
         flat, _, sizes = table_of(parts)
@@ -158,12 +168,12 @@ def decompose(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]
 
 
 def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, number) of runs of texts of at most ``SLICE`` bytes together; a longer text is a run by itself."""
+    """(start, number) of runs of texts of at most twice ``SLICE`` bytes together; a longer text is a run by itself."""
     upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(upto):
         before = upto[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(upto, before + SLICE, side="right")))
+        end = max(at + 1, int(np.searchsorted(upto, before + 2 * SLICE, side="right")))
         yield at, end - at
         at = end
 
@@ -200,6 +210,8 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1)
                     [part.column(0).take(pa.array(doc)), pa.array(upto[:-1] - begin[doc]), pa.array(length), tokens, pa.array(counts[doc])],
                     names=["doc_id", "start", "length", "tokens", "doc_tokens"],
                 )
+            # Arrow keeps what its functions have freed
+            pa.default_memory_pool().release_unused()
 
     pieces = map_batches(source, run, f"doc_id {kind}, start long, length long, tokens binary, doc_tokens long")
     bucket = F.log2("length").cast("int")
