@@ -439,7 +439,12 @@ def git_blob_hash(spark, sf):
     return B.files(spark, sf).select("path", texts.blob_hash(F.col("text")).alias("blob"))
 
 
-@query("WITH m AS (SELECT doc_id AS path, regexp_extract(text, '" + texts.SECRET.replace("'", "''") + "', 0) AS found FROM documents) SELECT path FROM m WHERE found <> '' AND NOT regexp_matches(found, '" + texts.PLACEHOLDER + "')")
+@query(
+    "SELECT path FROM (SELECT doc_id AS path, list_filter(flatten([regexp_extract_all(text, p) FOR p IN ["
+    "'AKIA[0-9A-Z]{16}', '-----BEGIN (?:RSA |EC |OPENSSH |DSA |PGP )?PRIVATE KEY', '\\b(?:ghp|gho|ghu|ghs|github_pat)_[A-Za-z0-9_]{20,}', '\\bsk-[A-Za-z0-9_-]{20,}', '\\bxox[baprs]-[A-Za-z0-9-]{10,}', "
+    "'(?i)\\b[\\w-]{0,40}(?:api[_-]?key|secret|passw(?:or)?d|token|credential)[\\w-]{0,40}\\s{0,10}[:=]\\s{0,10}(?:''[^''\"\\s]{8,500}''|\"[^''\"\\s]{8,500}\")']]), "
+    "lambda x: NOT regexp_matches(x, '(?i)(changeme|example|dummy|placeholder|xxxx|\\$\\{|<[^>]+>|your[_-]|redacted|test|fake|\\*\\*\\*)')) AS found FROM documents) WHERE len(found) > 0"
+)
 def secrets_scan(spark, sf):
     return B.files(spark, sf).where(texts.has_secret(F.col("text"))).select("path")
 
@@ -483,4 +488,4 @@ def mermaid_edges(spark, sf):
     return g.select(F.concat(F.lit("  n"), F.col("src"), F.lit(" -->|"), F.col("n"), F.lit("| n"), F.col("dst")).alias("line"))
 
 
-from loomgraph import catalogue_reviews, catalogue_sources  # noqa: E402, F401  they register their queries here
+from loomgraph import catalogue_facts, catalogue_reviews, catalogue_sources  # noqa: E402, F401  they register their queries here

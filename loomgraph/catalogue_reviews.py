@@ -240,7 +240,7 @@ def wave_risk_top3(spark, sf):
 
 #: What a review looks for in lines.
 RULES = {
-    "credential": (texts.SECRET, "high"),
+    "credential": ("|".join(texts.SECRETS), "high"),
     "email": (r"[A-Za-z0-9._-]+@[A-Za-z0-9-]+\.[a-z]{2,}", "medium"),
     "licence": (r"(?i)(licen[cs]e|copyright)", "low"),
     "long line": (r"^.{500,}$", "low"),

@@ -91,8 +91,8 @@ def duration_days(text: Column) -> Column:
 
 
 def middle_cut(text: Column, limit: int) -> Column:
-    """A text over ``limit`` characters with its middle as one ellipsis."""
-    left = (limit - 1) // 2 + (limit - 1) % 2
+    """A text over ``limit`` characters with its middle as one ellipsis; 45 % of what stays is in front, rounded up."""
+    left = -(-(limit - 1) * 45 // 100)
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.left(text, F.lit(left)), F.lit("…"), F.right(text, F.lit(limit - 1 - left))))
 
 

@@ -6,21 +6,29 @@ checkpoint folder, so a lost executor costs a round and plans stay short.
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+    """``df`` as a table of the session's checkpoint folder; where that is unset, a local session gets a temporary one and a cluster one in its warehouse."""
+    conf, sc = df.sparkSession.conf, df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        own = tempfile.mkdtemp(prefix="checkpoints-") if sc.master.startswith("local") else f"{conf.get('spark.sql.warehouse.dir')}/checkpoints"
+        sc.setCheckpointDir(conf.get("spark.checkpoint.dir", None) or own)
     return df.checkpoint()
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ancestors(containment: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, ancestor, depth) of a tree (id, parent); the parent has depth 1."""
+    """(id, ancestor, depth) of a tree (id, parent); the parent has depth 1. Raises where chains are longer than ``max_depth``, as on a cycle."""
     level = containment.select("id", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth"))
     out = level
     up = containment.select(F.col("id").alias("ancestor"), F.col("parent").alias("above"))
@@ -29,29 +37,74 @@ def ancestors(containment: DataFrame, max_depth: int = 64) -> DataFrame:
         if level.isEmpty():
             break
         out = out.unionByName(level)
+    else:
+        raise ValueError(f"a chain of more than {max_depth} parents: a cycle, or a larger max_depth is needed")
     return out
 
 
-def reachable(edges: DataFrame, starts: DataFrame, max_depth: int = 1000) -> DataFrame:
-    """(start, node, distance) over edges (src, dst); a start is at 0 from itself."""
-    seen = starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("distance"))
-    front = seen
+def reachable(edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(start, node, distance) over edges (src, dst), as far as they lead or ``max_depth`` of them; a start is at 0 from itself.
+
+    Each round writes what is new alone; rounds are put together by tens, so plans stay short.
+    """
+    front = starts.select("start", F.col("start").alias("node"), F.lit(0).cast("long").alias("distance"))
+    seen = [front]
     edges = edges.select("src", "dst").distinct()
-    for d in range(1, max_depth + 1):
+    for d in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         step = front.join(edges, front.node == edges.src).select("start", F.col("dst").alias("node")).distinct()
-        front = cut(step.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(d).cast("long")))
+        front = cut(step.join(together(seen), ["start", "node"], "left_anti").withColumn("distance", F.lit(d).cast("long")))
         if front.isEmpty():
             break
-        seen = cut(seen.unionByName(front))
-    return seen
+        seen = [cut(together([*seen, front]))] if len(seen) == 10 else [*seen, front]
+    return together(seen)
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that reaches and is reached; for graphs of units, whose closure is small."""
-    nodes = edges.select(F.col("src").alias("start")).union(edges.select(F.col("dst"))).distinct()
-    r = reachable(edges, nodes).select("start", "node")
-    back = r.select(F.col("node").alias("start"), F.col("start").alias("node"))
-    return r.join(back, ["start", "node"]).groupBy(F.col("start").alias("node")).agg(F.min("node").alias("component"))
+    """(node, component): the smallest node that reaches a node and is reached from it.
+
+    Nodes that nothing enters or leaves are components by themselves and go
+    first. Of the rest each takes as its colour the smallest node that reaches
+    it; the nodes of a colour that reach the node it is named for are that node's
+    component. What is left begins anew. Tables have a row for each node or
+    edge, never for a pair that merely reaches.
+    """
+    nodes = cut(edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst"))).distinct())
+    edges = cut(edges.where("src <> dst").select("src", "dst").distinct())
+    done: list[DataFrame] = []
+
+    def inside(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+        return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi").join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+    while not nodes.isEmpty():
+        entered, left = edges.select(F.col("dst").alias("node")).distinct(), edges.select(F.col("src").alias("node")).distinct()
+        core = cut(nodes.join(entered, "node", "left_semi").join(left, "node", "left_semi"))
+        single = cut(nodes.join(core, "node", "left_anti"))
+        if not single.isEmpty():
+            done.append(single.select("node", F.col("node").alias("component")))
+            nodes, edges = core, cut(inside(edges, core))
+            continue
+        colour = front = nodes.select("node", F.col("node").alias("colour"))
+        while True:
+            step = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("new"))
+            front = cut(step.join(colour, "node").where("new < colour").select("node", F.col("new").alias("colour")))
+            if front.isEmpty():
+                break
+            colour = cut(colour.join(front.withColumnRenamed("colour", "new"), "node", "left").select("node", F.coalesce("new", "colour").alias("colour")))
+        by = colour.select(F.col("node").alias("dst"), F.col("colour").alias("to"))
+        same = cut(edges.join(colour.withColumnRenamed("node", "src"), "src").join(by, "dst").where("colour = to").select("src", "dst"))
+        front = colour.where("node = colour")
+        found = [front]
+        while True:
+            step = front.join(same, front.node == same.dst).select(F.col("src").alias("node"), "colour").distinct()
+            front = cut(step.join(together(found), "node", "left_anti"))
+            if front.isEmpty():
+                break
+            found = [cut(together([*found, front]))] if len(found) == 10 else [*found, front]
+        own = cut(together(found))
+        done.append(own.select("node", F.col("colour").alias("component")))
+        nodes = cut(nodes.join(own, "node", "left_anti"))
+        edges = cut(inside(edges, nodes))
+    return together(done) if done else nodes.select("node", F.col("node").alias("component"))
 
 
 def shortest_paths(edges: DataFrame, start: int, goal: int, max_paths: int = 5, max_depth: int = 8) -> DataFrame:
@@ -75,7 +128,7 @@ def shortest_paths(edges: DataFrame, start: int, goal: int, max_paths: int = 5,
     return paths.orderBy("path")
 
 
-def shortest_cycles(edges: DataFrame, components: DataFrame, max_depth: int = 1000) -> DataFrame:
+def shortest_cycles(edges: DataFrame, components: DataFrame) -> DataFrame:
     """(component, path): for each strong component (node, component) a shortest cycle through its smallest node.
 
     Of equally short ones the first in node order; components without an inner edge have none.
@@ -85,7 +138,7 @@ def shortest_cycles(edges: DataFrame, components: DataFrame, max_depth: int = 10
     inner = cut(inner.select("component", "src", "dst").distinct())
     front = inner.select("component").distinct().select("component", F.col("component").alias("node"), F.array("component").alias("path"))
     seen, found = None, None
-    for _ in range(max_depth):
+    while True:  # every round reaches nodes not seen before
         step = front.withColumnRenamed("node", "src").join(inner, ["component", "src"]).select("component", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
         step = step.groupBy("component", "node").agg(F.min("path").alias("path"))
         front = cut(step if seen is None else step.join(seen, ["component", "node"], "left_anti"))
@@ -103,7 +156,7 @@ def layers(edges: DataFrame) -> DataFrame:
     edges = edges.where("src <> dst").select("src", "dst").distinct()
     left = cut(edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst"))).distinct())
     out = None
-    for k in range(1000):
+    for k in itertools.count():
         free = cut(left.join(edges.select(F.col("dst").alias("node")), "node", "left_anti").withColumn("layer", F.lit(k).cast("long")))
         if free.isEmpty():
             break

@@ -26,6 +26,7 @@ def one(spark, f, values):
         (C.route, {"http://h/u/:id/?q": "/u/{}", "/a/<int:x>//b": "/a/{}/b", "${base}/v": "/v", "x": None, "/": "/"}),
         (C.duration_days, {"2w": 14, "3d": 3, "x": None}),
         (lambda c: C.middle_cut(c, 5), {"abcdefgh": "ab…gh", "abc": "abc"}),
+        (lambda c: C.middle_cut(c, 12), {"abcdefghijklmnop": "abcde…klmnop"}),
         (C.snake, {"Admin::HTTPUser": "admin/http_user", "FooBar": "foo_bar"}),
     ],
 )
