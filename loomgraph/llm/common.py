@@ -165,7 +165,8 @@ def hot_lookup(big: DataFrame, small: DataFrame, key: str, n_big: int, share: fl
     if not hot:
         return big.join(small, key, how)
     (mark,) = free_names([*big.columns, *small.columns], "hot")
-    flags = big.sparkSession.createDataFrame([(h,) for h in hot], T.StructType([T.StructField(key, big.schema[key].dataType)]))
+    # literals, so no Python worker takes part
+    flags = big.sparkSession.range(1).select(F.explode(F.array(*[F.lit(h).cast(big.schema[key].dataType) for h in hot])).alias(key))
     heads = small.join(F.broadcast(flags), key, "left_semi")
     marked = big.join(F.broadcast(flags.withColumn(mark, F.lit(True))), key, "left")
     warm = marked.where(F.col(mark)).drop(mark).join(F.broadcast(heads), key, how)

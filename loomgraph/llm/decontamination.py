@@ -138,7 +138,7 @@ def meetings(docs: DataFrame, windows: DataFrame) -> DataFrame:
         met = probes.join(own, "hash").select("text_hash", "pid", "n", (F.col("w") - F.col("q")).alias("shift"))
         out = met if out is None else out.unionByName(met)
     if out is None:
-        return docs.sparkSession.createDataFrame([], "text_hash long, pid long, n int, shifts array<int>")
+        return docs.sparkSession.range(0).selectExpr("id AS text_hash", "id AS pid", "cast(id AS int) AS n", "array(cast(id AS int)) AS shifts")
     return out.groupBy("text_hash", "pid", "n").agg(F.collect_set("shift").alias("shifts"))
 
 
