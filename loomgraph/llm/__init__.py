@@ -1,4 +1,4 @@
-"""Training-data operators: the ten corpus operators and their queries.
+"""Training-data operators: the corpus operators and their queries.
 
 Nothing outside this package imports it; the package can be deleted whole.
 """

@@ -14,6 +14,7 @@ from .packing import op5_power_of_two_packing
 from .quality import op9_line_crf_quality
 from .sharding import op6_byte_shards
 from .simhash import op2_simhash_components
+from .spelling import op13_spelling_variants
 from .substrings import op3_gear_chunk_dedup
 from .toxicity import op1_subword_toxicity
 
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bilinear_scores,
         op9_line_crf_quality,
         op10_merkle_fingerprints,
+        op13_spelling_variants,
     )
 }
 
