@@ -17,6 +17,7 @@ from .simhash import op2_simhash_components
 from .spelling import op13_spelling_variants
 from .substrings import op3_gear_chunk_dedup
 from .toxicity import op1_subword_toxicity
+from .whitening import op11_lanczos_whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bilinear_scores,
         op9_line_crf_quality,
         op10_merkle_fingerprints,
+        op11_lanczos_whitening,
         op13_spelling_variants,
     )
 }

@@ -70,16 +70,32 @@ def test_vocabulary_against_all_pairs(spark, monkeypatch, small):
     assert next(g for g in got if g[0] == "colooours")[1:3] == ("coloours", "colour")
 
 
-def test_neighbours_are_distinct_and_whole(spark):
-    words = ["abba", "aab", "é"]
-    got = [tuple(r) for r in spelling.neighbours(spark.createDataFrame([(w,) for w in words], "word string")).collect()]
-    letters = "abé"
-    want = set()
-    for w in words:
-        own = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[j:] for i in range(len(w) + 1) for c in letters for j in (i, i + 1)}
-        own |= {w + c for c in letters}
-        want |= {(x, w) for x in own if x != w}
-    assert len(got) == len(set(got)) and set(got) == want
+@pytest.mark.parametrize("cells", [1, 64, 1 << 19])
+def test_neighbours_are_distinct_and_whole(cells):
+    letters = spelling.Letters(list("abé"), 40)
+    hashed = {}
+    for words in (["abba", "aabb", "ébéa"], ["é", "a"]):
+        got = []
+        rows = letters.of(words)
+        for kind, r, p, c, h in letters.neighbours(rows, cells):
+            for i, j, sign, value in zip(r.tolist(), p.tolist(), ["", ""] * len(r) if c is None else [letters.letters[x] for x in c], h.tolist()):
+                near = words[i][:j] + sign + words[i][j + (kind != "insert") :]
+                got.append((near, words[i]))
+                assert hashed.setdefault(near, value) == value
+                assert not near or int(letters.hashes(letters.of([near]))[0]) == value
+        want = set()
+        for w in words:
+            own = {w[:i] + w[i + 1 :] for i in range(len(w))} | {w[:i] + c + w[j:] for i in range(len(w) + 1) for c in "abé" for j in (i, i + 1)}
+            want |= {(x, w) for x in own | {w + c for c in "abé"} if x != w}
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(set(hashed.values())) == len(hashed)
+
+
+def test_a_full_filter_loses_nothing(spark, monkeypatch):
+    monkeypatch.setattr(spelling, "MOST_BITS", spelling.PIECE)
+    monkeypatch.setattr(spelling.Letters, "bit", lambda self, h: h & h.dtype.type(3))
+    vocab = spark.createDataFrame(list(VOCAB.items()), "word string, n long")
+    assert rows_of(spelling.spelling_variants(vocab)) == plain_variants(VOCAB)
 
 
 def test_odd_rows(spark, odd, empty):
