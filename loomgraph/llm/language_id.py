@@ -144,13 +144,19 @@ class Ftrl:
 
 
 def temperature_of(logits: np.ndarray, y: np.ndarray) -> float:
-    """The temperature of least log loss, by golden sections of its logarithm over 1/20 to 20; 1 without documents."""
-    if not len(y):
+    """The temperature of least log loss, by golden sections of its logarithm over 1/20 to 20; 1 without documents or with one language.
+
+    Of n documents one more is taken to be of another language, so where all
+    are told right the temperature stays where n documents can say it.
+    """
+    n, k = logits.shape
+    if not n or k < 2:
         return 1.0
+    target = np.full((n, k), 1 / (n + 1) / (k - 1))
+    target[np.arange(n), y] = n / (n + 1)
 
     def loss(log_t: float) -> float:
-        p = softmax(logits / np.exp(log_t))
-        return -np.log(np.maximum(p[np.arange(len(y)), y], 1e-300)).mean()
+        return -(target * np.log(np.maximum(softmax(logits / np.exp(log_t)), 1e-300))).sum()
 
     lo, hi, share = -np.log(20.0), np.log(20.0), (np.sqrt(5) - 1) / 2
     a, b = hi - share * (hi - lo), lo + share * (hi - lo)

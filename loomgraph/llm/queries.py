@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import op4_template_decontamination
+from .language_id import op12_ftrl_languages
 from .language_model import op8_bilinear_scores
 from .licenses import op7_license_scan
 from .merkle import op10_merkle_fingerprints
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_line_crf_quality,
         op10_merkle_fingerprints,
         op11_lanczos_whitening,
+        op12_ftrl_languages,
         op13_spelling_variants,
     )
 }

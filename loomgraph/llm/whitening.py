@@ -57,7 +57,7 @@ def integer_rows(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def _lists(rows: np.ndarray) -> pa.ListArray:
     k, d = rows.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, k * d + 1, d, dtype=np.int32)), pa.array(rows.ravel()))
+    return pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * d), pa.array(rows.ravel()))
 
 
 def distinct_vectors(df: DataFrame, vector: str) -> DataFrame:
