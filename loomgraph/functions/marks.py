@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from difflib import SequenceMatcher
 
@@ -16,29 +17,40 @@ SIDES = T.StructType([T.StructField("old", SPANS), T.StructField("new", SPANS)])
 TOKEN = re.compile(r"\w+|\s+|[^\w\s]")
 
 
-def _spans(line: str, changed: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Character ranges [first, last) of runs of tokens; runs that touch become one."""
-    ends = [m.end() for m in TOKEN.finditer(line)]
+def _spans(tokens: list[str], changed: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Character ranges [first, last) of runs of tokens, without white space at their ends; runs at most one character apart become one."""
+    ends = list(itertools.accumulate(map(len, tokens), initial=0))
     out: list[tuple[int, int]] = []
     for a, b in changed:
-        first, last = (ends[a - 1] if a else 0), ends[b - 1]
-        if out and out[-1][1] == first:
-            out[-1] = (out[-1][0], last)
-        else:
-            out.append((first, last))
+        solid = [k for k in range(a, b) if not tokens[k].isspace()]
+        if not solid:
+            continue
+        first, last = ends[solid[0]], ends[solid[-1] + 1]
+        if out and first - out[-1][1] <= 1:
+            first = out.pop()[0]
+        out.append((first, last))
     return out
 
 
+def matcher_of(old: str, new: str) -> SequenceMatcher:
+    return SequenceMatcher(None, TOKEN.findall(old), TOKEN.findall(new), autojunk=False)
+
+
+def marks_of(matcher: SequenceMatcher) -> tuple[list, list] | None:
+    """Ranges of changed tokens on both sides of a matcher of tokens; None if the lines are mostly changed."""
+    old, new = matcher.a, matcher.b
+    steps = [s for s in matcher.get_opcodes() if s[0] != "equal"]
+    left, right = _spans(old, [s[1:3] for s in steps]), _spans(new, [s[3:5] for s in steps])
+    touched = sum(y - x for x, y in left + right)
+    whole = len("".join(old).strip()) + len("".join(new).strip())
+    return None if touched > MAX_SHARE * whole else (left, right)
+
+
 def mark(old: str | None, new: str | None) -> tuple[list, list] | None:
     """Ranges of changed tokens of both lines; None if a line is null, too long, or mostly changed."""
     if old is None or new is None or max(len(old), len(new)) > MAX_CHARS:
         return None
-    a, b = TOKEN.findall(old), TOKEN.findall(new)
-    steps = [s for s in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if s[0] != "equal"]
-    left = _spans(old, [(s[1], s[2]) for s in steps if s[2] > s[1]])
-    right = _spans(new, [(s[3], s[4]) for s in steps if s[4] > s[3]])
-    touched = sum(y - x for x, y in left + right)
-    return None if touched > MAX_SHARE * max(1, len(old) + len(new)) else (left, right)
+    return marks_of(matcher_of(old, new))
 
 
 @F.pandas_udf(SIDES)

@@ -65,3 +65,18 @@ def activity(spark: SparkSession, sf: str) -> DataFrame:
 
 def files(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.col("doc_id").alias("path"), "lang", "source", "text")
+
+
+def versions(spark: SparkSession, sf: str) -> DataFrame:
+    """(wave, path, before, after): documents before and after an edit by rule of their lines; twenty documents are a wave.
+
+    Numbered from 0, lines go where the number mod 13 is 7, are prolonged where
+    mod 7 it is 3 and indented where mod 11 it is 5; the first third goes behind
+    the others, but for a last line of its own at either end.
+    """
+    docs = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 20).cast("long").alias("wave"), F.col("doc_id").alias("path"), F.col("text").alias("before"))
+    lines = docs.withColumn("lines", F.split("before", "\n"))
+    edited = F.expr("transform(lines, (x, i) -> CASE WHEN i % 13 = 7 THEN NULL WHEN i % 7 = 3 THEN concat(x, ' more') WHEN i % 11 = 5 THEN concat('  ', x) ELSE x END)")
+    third = F.floor(F.size("lines") / 3).cast("int")
+    kept = F.filter(F.concat(F.slice(edited, third + 1, F.size("lines")), F.slice(edited, F.lit(1), third)), lambda x: x.isNotNull())
+    return lines.select("wave", "path", "before", F.array_join(kept, "\n").alias("after"))

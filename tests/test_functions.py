@@ -88,7 +88,9 @@ def test_word_marks(spark):
     from loomgraph.functions.marks import mark, word_marks
 
     assert mark("a = foo(1)", "a = bar(1)") == ([(4, 7)], [(4, 7)])
-    assert mark("x", "x y") == ([], [(1, 3)])
+    assert mark("x", "x y") == ([], [(2, 3)])
+    assert mark("same one two same", "same 1, 2 same") == ([(5, 12)], [(5, 9)])
+    assert mark("f(a b)", "f(a   b)") == ([], [])
     assert mark("abc", "xyz") is None
     assert mark("", "") == ([], [])
     assert mark("a" * 401, "a") is None
