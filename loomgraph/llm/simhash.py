@@ -32,8 +32,11 @@ from pyspark.sql import types as T
 
 from .common import LOWER, add_columns, broadcast_if_small, components, free_names, gathered, hot_lookup, map_batches, materialize, table, text_of
 
-#: Fingerprints that the cost model looks at; it steers the work, never the result.
+#: Fingerprints that the cost model looks at. In the search within ``max_distance`` it steers the work alone; in the wide search, which meets a pair with
+#: a chance of ``RECALL`` or more, also which of the pairs are the ones that aren't met.
 SAMPLE = 2000
+#: Open pairs of a node that a bucket hands on in the first round after the forests; four times as many in each further one.
+NEAREST = 8
 #: Members of one bucket that a task compares at once; larger buckets are dealt out in pairs of blocks.
 BLOCK = 2048
 #: Pairs whose fingerprints a task compares at once.
@@ -189,8 +192,27 @@ def spanning_forest(l: np.ndarray, r: np.ndarray, d: np.ndarray, n: int) -> np.n
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def near_pairs(fps: np.ndarray, bucket: np.ndarray, probe: np.ndarray, max_distance: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, distance) of a spanning forest of the near pairs within each bucket; ``bucket`` is sorted. At most one pair fewer than members."""
+def nearest_open(i: np.ndarray, j: np.ndarray, d: np.ndarray, group: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
+    """(numbers of the pairs (i, j) of distance d between groups that are among the ``most`` nearest such pairs of one of their ends, whether there are others)."""
+    open_ = np.flatnonzero(group[i] != group[j])
+    k = len(open_)
+    ends = np.concatenate((i[open_], j[open_]))
+    order = np.lexsort((np.concatenate((d[open_], d[open_])), ends))
+    ends = ends[order]
+    begin = np.flatnonzero(np.append(True, ends[1:] != ends[:-1])) if k else np.empty(0, np.int64)
+    place = np.arange(2 * k) - np.repeat(begin, np.diff(np.append(begin, 2 * k)))
+    near = np.zeros(2 * k, bool)
+    near[order] = place < most
+    near = near[:k] | near[k:]
+    return open_[near], not near.all()
+
+
+def near_pairs(fps: np.ndarray, bucket: np.ndarray, probe: np.ndarray, max_distance: int, group: np.ndarray | None = None, most: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """(i, j, distance, whether there are more) of near pairs within each bucket; ``bucket`` is sorted.
+
+    Without ``group`` a spanning forest of them, at most one pair fewer than
+    members; else the ``most`` nearest of each member that lead to another group.
+    """
     n = len(bucket)
     ends = np.searchsorted(bucket, bucket, side="right")
     after = ends - np.arange(n) - 1
@@ -211,13 +233,17 @@ def near_pairs(fps: np.ndarray, bucket: np.ndarray, probe: np.ndarray, max_dista
             d += np.bitwise_count(fps[i, k] ^ fps[j, k])
         near = d <= max_distance
         i, j, d = i[near], j[near], d[near]
-        kept = spanning_forest(i - lo, j - lo, d, hi - lo)
-        yield i[kept], j[kept], d[kept]
+        kept, more = (spanning_forest(i - lo, j - lo, d, hi - lo), False) if group is None else nearest_open(i, j, d, group, most)
+        yield i[kept], j[kept], d[kept], more
         at = last
 
 
-def links_within(nodes: DataFrame, parts: list[tuple[list[int], int]], max_distance: int, lanes: int) -> DataFrame:
-    """Links (a, b) between ``nodes (node, f0 ..)`` that span each bucket's components of pairs within ``max_distance``, the nearest pairs first."""
+def links_within(nodes: DataFrame, parts: list[tuple[list[int], int]], max_distance: int, lanes: int, most: int = 0) -> DataFrame:
+    """Links (a, b) between ``nodes (node, f0 ..)`` that span each bucket's components of pairs within ``max_distance``, the nearest pairs first.
+
+    With ``most``: of ``nodes (node, f0 .., group)`` the pairs between groups that are among the
+    ``most`` nearest of one of their ends; a row of nulls says that a bucket has more.
+    """
     # as few signatures a fingerprint as the thresholds need, in slices that fit a batch
     masks = [[sum(1 << i for i in c) for r in range(t + 1) for c in combinations(range(len(g)), r)] for g, t in parts]
 
@@ -226,16 +252,17 @@ def links_within(nodes: DataFrame, parts: list[tuple[list[int], int]], max_dista
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
+                groups = [part.column(1 + lanes)] if most else []
                 fps = np.stack([part.column(1 + k).to_numpy(zero_copy_only=False) for k in range(lanes)], 1)
                 bits = bit_matrix(fps).astype(np.int64)
                 for j, (g, _) in enumerate(parts):
                     value = bits[:, g] @ (1 << np.arange(len(g), dtype=np.int64))
                     for m in masks[j]:
                         key = (np.int64(j) << np.int64(48)) ^ ((value ^ m) if len(g) <= 48 else ((value ^ m) * np.int64(0x1E3779B97F4A7C15) >> np.int64(16)))
-                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), *[pa.array(fps[:, k]) for k in range(lanes)], pa.array(np.full(len(ids), m != 0))], names=["key", "node", *[f"f{k}" for k in range(lanes)], "probe"])
+                        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(ids), *[pa.array(fps[:, k]) for k in range(lanes)], pa.array(np.full(len(ids), m != 0)), *groups], names=wide.names)
 
-    wide = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), *[T.StructField(f"f{k}", T.LongType()) for k in range(lanes)], T.StructField("probe", T.BooleanType())])
-    slim = nodes.select("node", *[f"f{k}" for k in range(lanes)])
+    wide = T.StructType([T.StructField("key", T.LongType()), T.StructField("node", T.LongType()), *[T.StructField(f"f{k}", T.LongType()) for k in range(lanes)], T.StructField("probe", T.BooleanType()), *[T.StructField("group", T.LongType())] * bool(most)])
+    slim = nodes.select("node", *[f"f{k}" for k in range(lanes)], *["group"] * bool(most))
     keyed = map_batches(slim, keys, wide)
     # a bucket above BLOCK is dealt in pairs of blocks, whatever the input
     large = materialize(keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")))
@@ -253,11 +280,13 @@ def links_within(nodes: DataFrame, parts: list[tuple[list[int], int]], max_dista
 
         def send(x: np.ndarray) -> Iterator[pa.RecordBatch]:
             bucket = np.cumsum(np.append(False, (x[1:, 0] != x[:-1, 0]) | (x[1:, -1] != x[:-1, -1])))
-            for i, j, _ in near_pairs(x[:, 2:at].view(np.uint64), bucket, x[:, at].astype(bool), max_distance):
+            for i, j, _, more in near_pairs(x[:, 2:at].view(np.uint64), bucket, x[:, at].astype(bool), max_distance, x[:, at + 1] if most else None, most):
                 a, b = x[i, 1], x[j, 1]
                 apart = a != b
                 a, b = a[apart], b[apart]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                if more:
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64())] * 2, names=["a", "b"])
 
         for batch in gathered(batches, lambda b: b.num_rows, 1 << 14):
             x = np.stack([c.cast(pa.int64()).to_numpy(zero_copy_only=False) for c in batch.columns], 1)
@@ -380,6 +409,41 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float, n_pairs: int)
     return both.where(common >= F.lit(similarity) * (F.size("own") + F.size("other") - common)).select("a", "b")
 
 
+def settled_links(docs: DataFrame, nodes: DataFrame, who: DataFrame, parts: list[tuple[list[int], int]], max_distance: int, lanes: int, words_each: int, similarity: float) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs that the search meets within ``max_distance`` and whose similarity is ``similarity`` or more.
+
+    First each bucket's forest of near pairs is verified; a refused pair may
+    have stood for one that would hold. So where verified links leave nodes apart that
+    near pairs connect, buckets hand on the nearest pairs between
+    those groups, more in each round, until none is left untried. ``who (node, doc_id, text_hash)`` names each node's document.
+    """
+    tried = materialize(links_within(nodes, parts, max_distance, lanes))
+    whole = components(tried)
+    wanted = materialize(who.join(whole.select("node"), "node", "left_semi"))
+    sets = shingle_sets(docs, wanted, words_each)
+    near = materialize(whole.select("node", F.col("root").alias("near")))
+    links = materialize(verified(tried, sets, similarity, tried.count()))
+    most = NEAREST
+    while True:
+        # nodes that near pairs connect and links don't
+        grouped = near.join(components(links), "node", "left").select("node", "near", F.coalesce("root", "node").alias("group"))
+        split = grouped.groupBy("near").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("near")
+        near = materialize(near.join(split, "near", "left_semi"))
+        if near.isEmpty():
+            return links
+        open_ = materialize(nodes.join(grouped.join(split, "near", "left_semi").select("node", "group"), "node"))
+        met = materialize(links_within(open_, parts, max_distance, lanes, most))
+        more = not met.where("a is null").isEmpty()
+        fresh = materialize(met.where("a is not null").join(tried, ["a", "b"], "left_anti"))
+        n = fresh.count()
+        if n:
+            tried = tried.unionByName(fresh)
+            links = materialize(links.unionByName(verified(fresh, sets, similarity, n)))
+        if not more:
+            return links
+        most *= 4
+
+
 def hot_nodes(pairs: DataFrame, side: str, n: int, share: float = 1 / 500) -> list:
     return [r[0] for r in pairs.groupBy(side).count().where(F.col("count") > max(64, int(n * share))).select(side).collect()]
 
@@ -414,13 +478,10 @@ def near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, l
     f = [f"f{k}" for k in range(lanes)]
     prints = materialize(fingerprints(docs, words_each, lanes, distinct=True).withColumn("node", F.xxhash64(*f)))
     nodes, n, sample = distinct_prints(prints, lanes)
-    pairs = materialize(links_within(nodes, plan_wide(sample, n, similarity, lanes), max_distance, lanes))
-    n_pairs = pairs.count()
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_hash").alias("text_hash"))
     least = materialize(prints.groupBy("node").agg(F.min(key).alias("least")))
-    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(least.join(met, "node").select("node", "least.doc_id", "least.text_hash"))
-    links = verified(pairs, shingle_sets(docs, wanted, words_each), similarity, n_pairs)
+    who = least.select("node", "least.doc_id", "least.text_hash")
+    links = settled_links(docs, nodes, who, plan_wide(sample, n, similarity, lanes), max_distance, lanes, words_each, similarity)
     rooted = materialize(least.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
     kept = rooted.groupBy("root").agg(F.min("least").alias("kept"))
     by_node = hot_lookup(rooted.select("node", "root"), kept, "root", rooted.count()).select("node", "kept")

@@ -3,10 +3,12 @@
 A gear rolling hash over the last 16 bytes of a text (its words joined by single
 spaces) marks cut points, moved to the end of their word; of ``LONGEST`` words without one
 the word of the smallest hash is one. So an insertion moves no cut but those
-beside it. Runs of ``min_words`` words, from the start of each chunk and at the
-end of the text, are compared by digest; of each the first document (smallest
-doc_id, then text hash) keeps it, in others it goes. So whatever goes stands in
-runs of ``min_words`` words that one other document holds whole.
+beside it. Chunks have a digest each. A single one may be a word or two, so what
+is looked up are the shortest sequences of neighbouring chunks with ``min_words``
+words or more, from each chunk on and up to the last one, by a digest of
+their chunks' digests. Of each sequence the first document (smallest doc_id, then text hash)
+keeps it, in others its chunks go. So whatever goes stands in sequences of whole
+chunks that one other document holds as they are.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import broadcast_if_small, free_names, hot_lookup, map_batches, materialize, table, text_of
 
@@ -78,32 +81,43 @@ def chunk(text: str) -> tuple[list[int], list[int]]:
     return _digests(joined, ends, first, last), (last - first + 1).tolist()
 
 
-def run_starts(ends: np.ndarray, last: np.ndarray, min_words: int) -> np.ndarray:
-    """The first word of each run of ``min_words`` words: of the chunks, as far as there are so many, and for the end of the text."""
-    first = np.concatenate(([0], last[:-1] + 1))
-    return np.unique(np.append(first[first + min_words <= len(ends)], max(0, len(ends) - min_words)))
+def sequences(sizes: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) chunks of the shortest sequences of at least ``min_words`` words: from each chunk on, and up to the last chunk."""
+    upto = np.concatenate(([0], np.cumsum(sizes)))
+    if upto[-1] < min_words:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    last = np.searchsorted(upto, upto[:-1] + min_words) - 1
+    first = np.flatnonzero(last < len(sizes))
+    last = last[first]
+    back = int(np.searchsorted(upto, upto[-1] - min_words, side="right")) - 1
+    if last[-1] != len(sizes) - 1 or first[-1] != back:
+        first, last = np.append(first, back), np.append(last, len(sizes) - 1)
+    return first, last
 
 
-def runs(text: str, min_words: int = MIN_WORDS) -> list[int]:
-    """Digests of the runs of ``text``; none for fewer than ``min_words`` words."""
-    joined, ends, last = split(text)
-    if len(ends) < min_words:
-        return []
-    first = run_starts(ends, last, min_words)
-    return _digests(joined, ends, first, first + min_words - 1)
+def sequence_digests(text: str, min_words: int = MIN_WORDS) -> list[int]:
+    """Digests of the sequences of ``text``; none for fewer than ``min_words`` words."""
+    import xxhash
+
+    digests, sizes = chunk(text)
+    first, last = sequences(np.array(sizes, np.int64), min_words)
+    data, one = memoryview(np.array(digests, np.int64).tobytes()), xxhash.xxh64_intdigest
+    return np.fromiter((one(data[8 * a : 8 * b + 8]) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(first)).view(np.int64).tolist()
 
 
 def cut(text: str, repeated: list[int], min_words: int = MIN_WORDS) -> tuple[str, list[tuple[int, int]], int]:
-    """(text without the runs of ``repeated``, their spans in ``text``, their words)."""
+    """(text without the chunks of the sequences ``repeated``, their spans in ``text``, their words)."""
     if not repeated:
         return text, [], 0
-    _, ends, last = split(text)
-    starts = run_starts(ends, last, min_words)
-    gone = []
-    for i in sorted(set(repeated)):
-        a, b = int(starts[i]), int(starts[i]) + min_words
+    _, _, ends = split(text)
+    ends = ends + 1
+    begins = np.concatenate(([0], ends[:-1]))
+    first, last = sequences(ends - begins, min_words)
+    gone: list[list[int]] = []
+    for i in sorted(set(repeated), key=lambda i: first[i]):
+        a, b = int(begins[first[i]]), int(ends[last[i]])
         if gone and gone[-1][1] >= a:
-            gone[-1][1] = b
+            gone[-1][1] = max(gone[-1][1], b)
         else:
             gone.append([a, b])
     places = [m.span() for m in _WORD.finditer(text)]
@@ -118,7 +132,7 @@ def cut(text: str, repeated: list[int], min_words: int = MIN_WORDS) -> tuple[str
 
 
 def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, text_hash, repeated) for documents that hold runs of an earlier document; ``repeated``: the runs' numbers."""
+    """(doc_id, text_hash, repeated) for documents that hold sequences of chunks of an earlier document; ``repeated``: the sequences' numbers."""
     slim = docs.select("doc_id", F.xxhash64(text_of()).alias("text_hash"), text_of().alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -126,7 +140,7 @@ def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                digests = [runs(t, min_words) for t in part.column(2).to_pylist()]
+                digests = [sequence_digests(t, min_words) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "digests"])
 
     chunks = materialize(map_batches(slim, run, f"doc_id {kind}, text_hash long, digests array<long>"))
@@ -145,7 +159,7 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` cut, n_chars (where there is such a column) set anew, and the columns removed_words and removed_spans.
 
     Every row stays, also where nothing of its text is left. Rows that repeat
-    id and text are one document and keep or lose the same runs. Repeats
+    id and text are one document and keep or lose the same chunks. Repeats
     within one document stay. ``removed_spans`` are characters of the old text.
     """
     id_, other, own, list_ = free_names(docs.columns, "id", "other", "own", "repeated")
@@ -157,8 +171,8 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     repeated = broadcast_if_small(repeated, 64 + 4 * entries // max(1, rows))
     both = left.join(repeated, (F.col(own) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(id_)), "left").drop(own, other, id_)
     at_text, at_chars = keep.index("text"), keep.index("n_chars") if "n_chars" in keep else None
-    span = "array<struct<start:int,end:int>>"
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema.fields[:-1]) + f", removed_words int, removed_spans {span}"
+    span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    schema = T.StructType([*both.schema.fields[:-1], T.StructField("removed_words", T.IntegerType()), T.StructField("removed_spans", span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

@@ -290,6 +290,94 @@ def test_only_runs_of_one_document_go(spark):
     assert gone <= covered and len(gone) == got[2].removed_words
 
 
+def plain_chunks(text):
+    """The chunks as lists of words, by loops: gear sums over 16 bytes, a cut's word, and the smallest hash of a stretch without one."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    data = b" ".join(words)
+    gear = substrings._GEAR.tolist()
+    h = [(sum(gear[data[i - k]] << k for k in range(16) if i >= k) & 0xFFFFFFFF) >> 15 for i in range(len(data))]
+    ends, at = [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    word_at = [k for k, w in enumerate(words) for _ in range(len(w) + 1)]
+    cuts = {min(word_at[i], len(words) - 1) for i in range(len(data)) if h[i] % substrings.AVERAGE == 0}
+    more = set()
+    for a in range(len(words) - substrings.LONGEST + 1):
+        stretch = range(a, a + substrings.LONGEST)
+        if not cuts & set(stretch):
+            more.add(min(stretch, key=lambda k: (h[ends[k] - 1], k)))
+    out, own = [], []
+    for k, w in enumerate(words):
+        own.append(w)
+        if k in cuts | more or k == len(words) - 1:
+            out.append(tuple(own))
+            own = []
+    return out
+
+
+def plain_repeats(texts, least=substrings.MIN_WORDS):
+    """{document: numbers of the words that must go}, document by document in order."""
+    seen, gone = {}, {}
+    for d in sorted(texts):
+        chunks = plain_chunks(texts[d])
+        begins = [sum(map(len, chunks[:i])) for i in range(len(chunks) + 1)]
+        found = set()
+        for i in range(len(chunks)):
+            j = next((j for j in range(i + 1, len(chunks) + 1) if begins[j] - begins[i] >= least), None)
+            if j is not None:
+                found.add((i, j))
+        back = next((i for i in range(len(chunks) - 1, -1, -1) if begins[-1] - begins[i] >= least), None)
+        if back is not None:
+            found.add((back, len(chunks)))
+        gone[d] = set()
+        for i, j in found:
+            if seen.setdefault(tuple(chunks[i:j]), d) != d:
+                gone[d] |= set(range(begins[i], begins[j]))
+    return gone
+
+
+def test_what_goes_and_stays_against_loops(spark):
+    """Passages put into other texts whole, with words put in, in another order, and within one document; short, empty and repeated texts."""
+    rng = np.random.default_rng(31)
+    word = lambda: f"{rng.integers(0, 900):x}" + "z" * int(rng.integers(0, 5))
+    some = lambda n: [word() for _ in range(n)]
+    passages = [some(int(rng.integers(10, 90))) for _ in range(12)]
+    texts = {}
+    for d in range(60):
+        own = some(int(rng.integers(0, 40)))
+        for _ in range(int(rng.integers(0, 3))):
+            p = list(passages[rng.integers(0, 12)])
+            if rng.random() < 0.4:
+                p.insert(int(rng.integers(0, len(p))), "inserted")
+            own += p + some(int(rng.integers(0, 20)))
+        texts[d] = (" " if d % 2 else "\n").join(own)
+    texts |= {60: texts[3], 61: "", 62: "one word " * 30, 63: "one word " * 40, 64: "x" * 3000}
+    rows = substrings.dedup_substrings(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = plain_repeats(texts)
+    assert sum(map(len, want.values())) > 1000
+    for r in rows:
+        places = [m.span() for m in re.finditer("[^\x20\x09-\x0d]+", texts[r.doc_id])]
+        gone = {k for s in r.removed_spans for k, (a, b) in enumerate(places) if s.start <= a < s.end}
+        assert gone == want[r.doc_id] and r.removed_words == len(gone)
+        assert r.text.split() == [texts[r.doc_id][a:b] for k, (a, b) in enumerate(places) if k not in gone]
+
+
+def test_the_query_cuts_whole_chunks(spark, sf, docs):
+    """All that goes are whole chunks; words put into a copied text keep two chunks at most."""
+    for r in substrings.op3_gear_chunk_dedup(spark, sf).collect():
+        begins = np.concatenate(([0], np.cumsum(substrings.chunk(docs[r.doc_id])[1]))).tolist()
+        places = [m.start() for m in re.finditer("[^\x20\x09-\x0d]+", docs[r.doc_id])]
+        for span in r.removed_spans.split(","):
+            if span:
+                a, b = (np.searchsorted(places, int(x)) for x in span.split("-"))
+                assert a in begins and b in begins
+    words = max(docs.values(), key=len).split()[:600]
+    rows = substrings.dedup_substrings(spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:300], "put", "in", *words[300:]]))], "doc_id long, text string"))
+    left = {r.doc_id: r.removed_words for r in rows.collect()}
+    assert left[1] == 0 and left[2] >= 600 - 4 * substrings.LONGEST
+
+
 def test_chunks_resist_insertions():
     rng = np.random.default_rng(3)
     words = [f"word{i}" for i in rng.integers(0, 10**6, 2000)]

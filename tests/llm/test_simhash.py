@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -149,3 +152,74 @@ def test_lines_said_often_are_no_similarity(spark):
     rng = np.random.default_rng(6)
     docs = spark.createDataFrame([(i, line + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 100))) for i in range(2)], "doc_id long, text string")
     assert simhash.drop_near_copies(docs).count() == 2
+
+
+def family_texts(seed, families, least, most):
+    """Edited copies of a text of 200 words each: pairs of them lie on either side of 0.8."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    out = []
+    for _ in range(families):
+        base = [word() for _ in range(200)]
+        for _ in range(r.randint(least, most)):
+            own = list(base)
+            for _ in range(r.choice([0, 1, 2, 2, 3, 3])):
+                own[r.randrange(200)] = word()
+            out.append(" ".join(own))
+    r.shuffle(out)
+    return out
+
+
+def plain_groups(texts):
+    """The place of each text's group, by all pairs of shingle sets of a family."""
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        shared = Counter(j for x in s for j in where[x] if j < i)
+        for j, n in shared.items():
+            if n >= 0.8 * (len(s) + len(sets[j]) - n):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("families,least,most", [(6, 50, 90), (60, 4, 14)])
+def test_dense_families_lose_no_links(spark, families, least, most):
+    """At two sizes of the corpus, for large and for small families: of the documents that should go at least 95 % do, and no other."""
+    texts = family_texts(families, families, least, most)
+    group = plain_groups(texts)
+    should_go = {i for i, g in enumerate(group) if g != i}
+    others = [(10_000 + k, " ".join(f"w{k}x{j}" for j in range(40))) for k in range(3000 if families == 6 else 0)]
+    df = spark.createDataFrame([*enumerate(texts), *others], "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.drop_near_copies(df).select("doc_id").collect()}
+    gone = set(range(len(texts))) - kept
+    assert not gone - should_go and kept >= {d for d, _ in others}
+    assert len(gone) >= 0.95 * len(should_go) and len(should_go) > 100
+
+
+def test_nearest_open_pairs():
+    r = np.random.default_rng(6)
+    n = 40
+    i, j = np.triu_indices(n, 1)
+    d, group = r.integers(0, 9, len(i)), r.integers(0, 6, n)
+    for most in (1, 3, 100):
+        kept, more = simhash.nearest_open(i, j, d, group, most)
+        open_ = [k for k in range(len(i)) if group[i[k]] != group[j[k]]]
+        assert set(kept) <= set(open_) and more == (len(kept) < len(open_))
+        for x in range(n):
+            own = sorted(d[k] for k in open_ if x in (i[k], j[k]))
+            got = sorted(d[k] for k in kept if x in (i[k], j[k]))
+            # the nearest are among them
+            assert got[: min(most, len(own))] == own[: min(most, len(own))]
+    assert len(simhash.nearest_open(i[:0], j[:0], d[:0], group, 3)[0]) == 0
