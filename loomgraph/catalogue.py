@@ -488,4 +488,4 @@ def mermaid_edges(spark, sf):
     return g.select(F.concat(F.lit("  n"), F.col("src"), F.lit(" -->|"), F.col("n"), F.lit("| n"), F.col("dst")).alias("line"))
 
 
-from loomgraph import catalogue_diffs, catalogue_facts, catalogue_reviews, catalogue_sources  # noqa: E402, F401  they register their queries here
+from loomgraph import catalogue_diffs, catalogue_facts, catalogue_graphs, catalogue_reviews, catalogue_sources  # noqa: E402, F401  they register their queries here

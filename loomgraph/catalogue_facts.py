@@ -62,12 +62,12 @@ def own_nodes(spark, sf):
     return facts.own_nodes(li.select(F.col("l_orderkey").alias("path"), F.col("l_partkey").alias("node"), (F.col("l_returnflag") == "A").alias("own"), F.col("l_linenumber").alias("seq")))
 
 
-USES = "u AS (SELECT DISTINCT c_mktsegment || c_nationkey AS component, p_name AS package, l_linestatus = 'O' AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE c_custkey % 4 = 0) "
+USES = "u AS (SELECT DISTINCT c_mktsegment || c_nationkey AS component, p_name AS package, l_linestatus = 'O' AS t FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey) "
 
 
 @query(f"WITH {USES} SELECT component, package FROM u WHERE t EXCEPT SELECT component, package FROM u WHERE NOT t")
 def external_uses_new(spark, sf):
-    cust = B.table(spark, sf, "customer").where("c_custkey % 4 = 0").select("c_custkey", F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("component"))
+    cust = B.table(spark, sf, "customer").select("c_custkey", F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("component"))
     li = B.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_linestatus")
     parts = B.table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("package"))
     orders = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
@@ -180,8 +180,7 @@ def worktree_last_activity(spark, sf):
     "SELECT t.path, greatest(1, least(8, coalesce(min(CASE WHEN n >= greatest(2, whole // 20) THEN width END), any_value(least))))::INT AS unit FROM c JOIN t ON c.path = t.path GROUP BY t.path"
 )
 def indent_units(spark, sf):
-    w = B.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("path")).agg(F.collect_list((F.col("l_quantity").cast("int") % 12)).alias("widths"))
-    return w.select("path", labels.indent_unit(F.col("widths")).cast("int").alias("unit"))
+    return facts.indent_units(B.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("path"), (F.col("l_quantity").cast("int") % 12).alias("width")))
 
 
 @query(

@@ -99,11 +99,11 @@ def views_changes_pairs(spark, sf):
 LINES = (
     "WITH l AS (SELECT DISTINCT doc_id, lower(trim(x)) AS line FROM documents, unnest(string_split(text, chr(10))) u(x) WHERE trim(x) <> ''), "
     "n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1), "
-    "o AS (SELECT *, count(*) OVER (PARTITION BY line) AS df FROM l WHERE doc_id % 2 = 0), w AS (SELECT *, count(*) OVER (PARTITION BY line) AS df FROM l WHERE doc_id % 2 = 1) "
+    "o AS (SELECT * FROM l WHERE doc_id % 2 = 0), w AS (SELECT * FROM l WHERE doc_id % 2 = 1) "
 )
 
 
-@query(LINES + "SELECT o.doc_id AS old, w.doc_id AS new, count(*) AS shared FROM o JOIN w ON o.line = w.line JOIN n a ON a.doc_id = o.doc_id JOIN n b ON b.doc_id = w.doc_id WHERE o.df <= 50 AND w.df <= 50 GROUP BY o.doc_id, w.doc_id, a.n, b.n HAVING count(*) >= 0.5 * greatest(a.n, b.n)")
+@query(LINES + "SELECT o.doc_id AS old, w.doc_id AS new, count(*) AS shared FROM o JOIN w ON o.line = w.line JOIN n a ON a.doc_id = o.doc_id JOIN n b ON b.doc_id = w.doc_id GROUP BY o.doc_id, w.doc_id, a.n, b.n HAVING count(*) >= 0.5 * greatest(a.n, b.n)")
 def renames_similar_content(spark, sf):
     docs = B.files(spark, sf).select("path", "text")
     return reviews.similar_files(docs.where("path % 2 = 0"), docs.where("path % 2 = 1"))

@@ -72,8 +72,8 @@ def sensitive_kind(path: Column) -> Column:
 
 
 def image_name(image: Column) -> Column:
-    """A container image without registry, tag and digest."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(image, "@.*$", ""), r":[^:/]+$", ""), r"^(?:[^/]*[.:][^/]*|localhost)/", "")
+    """A container image without registry, tag and digest, lower-cased."""
+    return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_replace(image, "@.*$", ""), r":[^:/]+$", ""), r"^(?:[^/]*[.:][^/]*|localhost)/", ""))
 
 
 def route(url: Column) -> Column:

@@ -139,11 +139,3 @@ def squash(text: Column) -> Column:
 def similar_size(a: Column, b: Column) -> Column:
     """Whether the longer of two blocks has at most half as many lines again as the shorter, and one."""
     return F.greatest(a, b) <= 1.5 * F.least(a, b) + 1
-
-
-def indent_unit(widths: Column) -> Column:
-    """A file's step of indentation: the least width that a twentieth of the indented lines, and two, have; 1 to 8, 4 without such lines."""
-    need = F.greatest(F.lit(2), F.floor(F.size(widths) / 20))
-    common = F.filter(F.array_distinct(widths), lambda w: F.size(F.filter(widths, lambda x: x == w)) >= need)
-    least = F.coalesce(F.array_min(common), F.array_min(widths))
-    return F.when(F.size(widths) == 0, 4).otherwise(F.greatest(F.lit(1), F.least(F.lit(8), least)))

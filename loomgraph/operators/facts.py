@@ -117,3 +117,16 @@ def ordered_findings(findings: DataFrame, severities: list[str]) -> DataFrame:
     """Findings by severity (the first of ``severities`` first, unknown ones last), category, path and line."""
     rank = F.coalesce(*[F.when(F.col("severity") == s, F.lit(i)) for i, s in enumerate(severities)], F.lit(len(severities)))
     return findings.orderBy(rank, "category", F.col("path").asc_nulls_first(), F.col("line").asc_nulls_first())
+
+
+def indent_units(lines: DataFrame) -> DataFrame:
+    """(path, unit) of indented ``lines (path, width)``: the least width that is common in a file, from 1 to 8; the least of all where none is.
+
+    Common are widths of a twentieth of a file's lines, and of two. Lines are counted by width first, so
+    a file's lines never stand together. Files without indented lines have no row; 4 is taken for them.
+    """
+    by = lines.groupBy("path", "width").agg(F.count(F.lit(1)).alias("n"))
+    whole = by.groupBy("path").agg(F.sum("n").alias("lines"), F.min("width").alias("least"))
+    common = F.min(F.when(F.col("n") >= F.greatest(F.lit(2), F.floor(F.col("lines") / 20)), F.col("width")))
+    unit = by.join(whole, "path").groupBy("path", "least").agg(common.alias("common"))
+    return unit.select("path", F.greatest(F.lit(1), F.least(F.lit(8), F.coalesce("common", "least"))).cast("int").alias("unit"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.graphs import cut
+
 
 def rank_share(value: str, within: list[str] | None = None) -> Column:
     """Share of rows that are not above this one; ties share, the largest is 1."""
@@ -44,3 +48,21 @@ def spread(rows: DataFrame, order: list[str], limit: int) -> DataFrame:
     numbered = rows.withColumn("__i", F.row_number().over(w) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy()))
     picks = F.transform(F.sequence(F.lit(0), F.lit(limit - 1)), lambda k: F.bround(k * (F.col("__n") - 1) / F.lit(limit - 1.0)).cast("int"))
     return numbered.where((F.col("__n") <= limit) | F.array_contains(picks, F.col("__i"))).drop("__i", "__n")
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """``rows`` with their number in ``order`` (from 1) within groups of ``by`` of any size; without ``by`` over all rows.
+
+    Rows are dealt by ranges, numbered within each, and moved on by what the
+    ranges before hold of the group: a group that fills a third of the table
+    spreads over as many tasks. Only a row for each range and group that has rows
+    there meets in a window.
+    """
+    spread = cut(rows.repartitionByRange(*[F.col(c) for c in [*by, *order]]).withColumn("__range", F.spark_partition_id()))
+    local = spread.withColumn("__local", F.row_number().over(Window.partitionBy("__range", *by).orderBy(*order)))
+    sizes = spread.groupBy("__range", *by).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    keys = ["__range", *by]
+    right = before.select("__before", *[F.col(k).alias(f"{k}__of") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}__of")) for k in keys])
+    return local.join(right, same).withColumn(name, (F.col("__local") + F.col("__before")).cast("long")).select(*rows.columns, name)

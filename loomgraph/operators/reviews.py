@@ -8,21 +8,39 @@ from pyspark.sql import functions as F
 from loomgraph.operators.graphs import cut
 
 
-def similar_files(old: DataFrame, new: DataFrame, max_frequency: int = 50, min_share: float = 0.5) -> DataFrame:
-    """(old, new, shared) of files (path, text) that share at least ``min_share`` of their distinct non-blank lines.
+def similar_files(old: DataFrame, new: DataFrame, min_share: float = 0.5) -> DataFrame:
+    """(old, new, shared) of files (path, text) that share at least ``min_share`` of their distinct non-blank lines, lower-cased and trimmed; ``shared`` counts them all.
 
-    Only lines that at most ``max_frequency`` files of each side hold make
-    candidates, so no line makes more than its square of pairs.
+    Files of the same lines are one class, and classes are compared, so copies
+    make pairs only in the result. Two classes that share so much share one of the
+    first lines of either, the rarest first, up to what is left beside that share: classes
+    meet on these alone, and common lines, which come last, rarely bring any together. No line is left out.
     """
 
-    def lines(side: DataFrame, name: str) -> DataFrame:
+    def classes(side: DataFrame) -> tuple[DataFrame, DataFrame]:
         each = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.lower(F.trim(x))), lambda x: x != ""))
-        rows = side.select(F.col("path").alias(name), F.size(each).alias(f"n_{name}"), F.explode(each).alias("line")).withColumn("line", F.xxhash64("line"))
-        common = rows.groupBy("line").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > max_frequency)
-        return rows.join(common, "line", "left_anti")
-
-    pairs = lines(old, "old").join(lines(new, "new"), "line").groupBy("old", "new", "n_old", "n_new").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.where(F.col("shared") >= min_share * F.greatest("n_old", "n_new")).select("old", "new", "shared")
+        files = cut(side.select("path", F.array_sort(F.transform(each, lambda x: F.xxhash64(x))).alias("lines")).where(F.size("lines") > 0).withColumn("class", F.md5(F.array_join(F.col("lines").cast("array<string>"), ","))))
+        return files.select("path", "class"), cut(files.groupBy("class").agg(F.any_value("lines").alias("lines")))
+
+    (old_files, old_sets), (new_files, new_sets) = classes(old), classes(new)
+    both = old_sets.select("class", "lines").unionByName(new_sets.select("class", "lines"))
+    often = cut(both.select(F.explode("lines").alias("line")).groupBy("line").agg(F.count(F.lit(1)).alias("df")))
+
+    def first_lines(sets: DataFrame, name: str) -> DataFrame:
+        ranked = sets.select("class", F.explode("lines").alias("line")).join(often, "line").groupBy("class").agg(F.array_sort(F.collect_list(F.struct("df", "line"))).alias("ranked"))
+        n = F.size("ranked")
+        few = F.slice("ranked", F.lit(1), n - F.ceil(n * min_share - 1e-9).cast("int") + 1)
+        return ranked.select(F.col("class").alias(name), n.alias(f"n_{name}"), F.explode(F.transform(few, lambda x: x["line"])).alias("line"))
+
+    near = F.least("n_old", "n_new") >= min_share * F.greatest("n_old", "n_new")
+    met = first_lines(old_sets, "old").join(first_lines(new_sets, "new"), "line").where(near).select("old", "new").distinct()
+    sets = lambda of, name: of.select(F.col("class").alias(name), F.col("lines").alias(f"{name}_lines"))
+    laid = met.join(sets(old_sets, "old"), "old").join(sets(new_sets, "new"), "new")
+    shared = laid.withColumn("shared", F.size(F.array_intersect("old_lines", "new_lines")).cast("long"))
+    pairs = shared.where(F.col("shared") >= min_share * F.greatest(F.size("old_lines"), F.size("new_lines"))).select("old", "new", "shared")
+    members = lambda files, name: files.select(F.col("class").alias(name), F.col("path").alias(f"{name}_path"))
+    out = pairs.join(members(old_files, "old"), "old").join(members(new_files, "new"), "new")
+    return out.select(F.col("old_path").alias("old"), F.col("new_path").alias("new"), "shared")
 
 
 def match_best_first(candidates: DataFrame) -> DataFrame:

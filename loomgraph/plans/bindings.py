@@ -80,3 +80,98 @@ def versions(spark: SparkSession, sf: str) -> DataFrame:
     third = F.floor(F.size("lines") / 3).cast("int")
     kept = F.filter(F.concat(F.slice(edited, third + 1, F.size("lines")), F.slice(edited, F.lit(1), third)), lambda x: x.isNotNull())
     return lines.select("wave", "path", "before", F.array_join(kept, "\n").alias("after"))
+
+
+def symbols(spark: SparkSession, sf: str, later: bool) -> DataFrame:
+    """(id, parent, level, kind, language, name, fingerprint, body, signature_id, signature, lines): a brand is a file, a type of it a class, a part a method.
+
+    ``later``: some files, classes and methods go by other names, some bodies
+    and signatures have changed, and some methods stand in another file; ids have the names.
+    """
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type", "p_name", "p_retailprice", "p_size")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    brand, kind, name = F.col("p_brand"), F.col("p_type"), F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), (key % 50).cast("string"))
+    price = F.floor("p_retailprice").cast("int")
+    print_ = F.concat_ws("/", (price % 40).cast("string"), (size % 5).cast("string"))
+    signature = F.concat(F.lit("(self, p"), (price % 10).cast("string"), F.lit("_"), size.cast("string"), F.lit(": int)"))
+    if later:
+        brand = F.when(key % 31 == 0, F.concat(F.lit("Brand#"), (60 + key % 7).cast("string"))).otherwise(F.replace(brand, F.lit("#1"), F.lit("#new")))
+        kind = F.replace(F.replace(kind, F.lit("ED "), F.lit("ING ")), F.lit("COPPER"), F.lit("BRASS ALLOY"))
+        name = F.when(key % 3 == 0, F.concat(name, F.lit("_now"))).when(key % 7 == 0, F.concat(F.lit("q"), F.reverse(name))).otherwise(name)
+        print_ = F.when(key % 4 == 0, F.concat(print_, F.lit("!"))).otherwise(print_)
+    one = p.select(brand.alias("file"), kind.alias("cls"), name.alias("name"), print_.alias("fingerprint"), F.lower(print_).alias("body"), F.md5(signature).alias("signature_id"), signature.alias("signature"), (size % 20).alias("lines"))
+    methods = one.groupBy("file", "cls", "name").agg(*[F.min(c).alias(c) for c in ("fingerprint", "body", "signature_id", "signature", "lines")])
+    cls = F.concat_ws("/", "file", "cls")
+    null = F.lit(None).cast("string")
+    classes = methods.groupBy("file", "cls").agg(F.count(F.lit(1)).cast("int").alias("lines"))
+    classes = classes.select(cls.alias("id"), F.col("file").alias("parent"), F.lit(0).alias("level"), F.lit("class").alias("kind"), F.lit("x").alias("language"), F.col("cls").alias("name"), null.alias("fingerprint"), null.alias("body"), null.alias("signature_id"), null.alias("signature"), "lines")
+    return classes.unionByName(methods.select(F.concat_ws("/", cls, "name").alias("id"), cls.alias("parent"), F.lit(1).alias("level"), F.lit("method").alias("kind"), F.lit("x").alias("language"), "name", "fingerprint", "body", "signature_id", "signature", "lines"))
+
+
+def scope_tables(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Symbols, bindings, submodules, star imports and bases of modules: nations and regions.
+
+    A supplier is a class of its nation's module, the parts that it delivers are methods, by the
+    first word of their types; a customer imports the suppliers of its orders under their
+    names; a nation inherits from the nation before it, and stars go to the region, which has its nations as submodules.
+    """
+    nation, supplier = table(spark, sf, "nation"), table(spark, sf, "supplier")
+    n = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    s = lambda c: F.concat(F.lit("S"), F.col(c).cast("string"))
+    r = lambda c: F.concat(F.lit("r"), F.col(c).cast("string"))
+    classes = supplier.select(n("s_nationkey").alias("module"), s("s_suppkey").alias("qual"), F.lit("class").alias("kind"))
+    word = lambda c: F.element_at(F.split(c, " "), 1)
+    parts = table(spark, sf, "part").select("p_partkey", word("p_type").alias("word"))
+    delivered = table(spark, sf, "lineitem").where("l_linenumber = 1").join(parts, F.col("l_partkey") == F.col("p_partkey")).select("l_suppkey", "word").distinct()
+    methods = delivered.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(n("s_nationkey").alias("module"), F.concat_ws(".", s("s_suppkey"), "word").alias("qual"), F.lit("method").alias("kind"))
+    symbols = classes.unionByName(methods).select("*", F.concat_ws(":", "module", "qual").alias("id"))
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_suppkey")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    cust = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    used = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(cust, F.col("o_custkey") == F.col("c_custkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    used = used.where("c_nationkey <> s_nationkey").select("c_nationkey", "s_nationkey", "s_suppkey").distinct()
+    # an even supplier is imported through the nation before its own, which may import it itself, an odd one through its own
+    target = F.when(F.col("s_suppkey") % 2 == 0, n("s_nationkey")).otherwise(F.concat(F.lit("n"), F.pmod(F.col("s_nationkey") - 1, F.lit(25)).cast("string")))
+    bindings = used.select(n("c_nationkey").alias("module"), s("s_suppkey").alias("name"), target.alias("target"), F.array(s("s_suppkey")).alias("attrs"))
+    submodules = nation.select(r("n_regionkey").alias("module"), n("n_nationkey").alias("name"), n("n_nationkey").alias("target"))
+    stars = nation.select(n("n_nationkey").alias("module"), F.lit(0).alias("place"), r("n_regionkey").alias("target"))
+    bases = supplier.select(n("s_nationkey").alias("module"), s("s_suppkey").alias("cls"), F.lit(0).alias("place"), F.array(s("s_suppkey").substr(1, 2)).alias("parts"))
+    return [symbols, bindings, submodules, stars, bases.unionByName(supplier.select(n("s_nationkey").alias("module"), s("s_suppkey").alias("cls"), F.lit(1).alias("place"), F.array(F.concat(F.lit("S"), (F.col("s_suppkey") - 1).cast("string"))).alias("parts")))]
+
+
+def call_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """(call, module, caller, cls, parts): each first line of an order calls a method of its supplier, by name, through the nation's module, or from within the class."""
+    li = table(spark, sf, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    cust = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    parts = table(spark, sf, "part").select("p_partkey", F.element_at(F.split("p_type", " "), 1).alias("word"))
+    rows = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(cust, F.col("o_custkey") == F.col("c_custkey")).join(parts, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
+    k, name = F.col("l_orderkey") % 5, F.concat(F.lit("S"), F.col("l_suppkey").cast("string"))
+    of = lambda c: F.concat(F.lit("n"), F.col(c).cast("string"))
+    called = F.when(k == 0, F.array(F.lit("self"), "word")).when(k == 1, F.array(F.lit("super()"), "word")).when(k == 2, F.array(of("s_nationkey"), name, F.col("word"))).when(k == 3, F.array(name)).otherwise(F.array(name, F.col("word")))
+    return rows.select(F.col("l_orderkey").cast("long").alias("call"), F.when(k < 2, of("s_nationkey")).otherwise(of("c_nationkey")).alias("module"), F.when(k < 2, F.concat(name, F.lit(".f"))).alias("caller"), F.when(k < 2, name).alias("cls"), called.alias("parts"))
+
+
+def commit_parents(spark: SparkSession, sf: str) -> DataFrame:
+    """(commit, parent): customers as commits; the parent of one is a supplier's share of it back, so histories branch, and every third has a second one: branches that merge."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("commit"))
+    first = F.floor(F.col("commit") * 0.8).cast("long")
+    second = F.floor(F.col("commit") * 0.7).cast("long") - 1
+    both = c.select("commit", first.alias("parent")).unionByName(c.where("commit % 3 = 0").select("commit", second.alias("parent")))
+    return both.where("parent >= 1 and parent < commit").join(c.withColumnRenamed("commit", "parent"), "parent", "left_semi").distinct()
+
+
+def router_tables(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Routers (router, kind, prefix, app) and mounts (router, place, owner, prefix): suppliers are routers, those of a round number apps; the first lines of orders mount a supplier in the one that the line's part is named for."""
+    s = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
+    name = lambda c: F.concat(F.lit("r"), F.col(c).cast("string"))
+    kind = F.when(F.col("s_suppkey") % 3 == 0, "Blueprint").otherwise("Router")
+    prefix = F.when(F.col("s_suppkey") % 4 != 0, F.concat(F.lit("/n"), F.col("s_nationkey").cast("string"))).otherwise("")
+    routers = s.select(name("s_suppkey").alias("router"), kind.alias("kind"), prefix.alias("prefix"), (F.col("s_suppkey") % 10 == 0).alias("app"))
+    li = table(spark, sf, "lineitem").where("l_linenumber = 1").groupBy("l_suppkey", "l_returnflag").agg(F.min("l_partkey").alias("part"))
+    n = s.agg(F.max("s_suppkey").alias("most"))
+    owner = F.concat(F.lit("r"), (F.col("part") % F.col("most") + 1).cast("string"))
+    place = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    mounts = li.crossJoin(F.broadcast(n)).select(name("l_suppkey").alias("router"), place.alias("place"), owner.alias("owner"), F.concat(F.lit("/"), F.lower("l_returnflag")).alias("prefix"))
+    return [routers, mounts]

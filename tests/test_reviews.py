@@ -67,3 +67,16 @@ def test_digest_ignores_order_not_content(spark):
     a = spark.createDataFrame([("s", 1, "x"), ("s", 2, "y")], "source string, path long, text string")
     d = [reviews.state_digest(df, ["source"], "path", "text").first().digest for df in (a, a.orderBy(F.desc("path")), a.where("path = 1"))]
     assert d[0] == d[1] != d[2]
+
+
+def test_similar_files_count_every_line(spark):
+    """Against all pairs: copies by the hundred, files of nothing but common lines, blank and empty ones."""
+    r = random.Random(8)
+    common = [f"common {k}" for k in range(12)]
+    text = lambda: "\n".join(r.sample(common, r.randint(0, 8)) + [f"  Own {r.randrange(60)}" for _ in range(r.randint(0, 9))] + ["", " "])
+    files = [(i, text()) for i in range(120)] + [(200 + i, "\n".join(common)) for i in range(130)] + [(900, None), (901, ""), (902, "\n\n")]
+    old, new = [f for f in files if f[0] % 2 == 0], [f for f in files if f[0] % 2]
+    sets = {i: {x.strip().lower() for x in (t or "").split("\n") if x.strip()} for i, t in files}
+    want = {(a, b, len(sets[a] & sets[b])) for a, _ in old for b, _ in new if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.5 * max(len(sets[a]), len(sets[b]))}
+    got = [tuple(x) for x in reviews.similar_files(*[spark.createDataFrame(f, "path long, text string") for f in (old, new)]).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 65 * 65
