@@ -66,7 +66,7 @@ def merge_bases(spark, sf):
 
 @query(
     "WITH RECURSIVE c AS (SELECT c_custkey::BIGINT AS commit FROM customer), "
-    "p AS (SELECT DISTINCT commit, parent FROM (SELECT commit, floor(commit * 0.8)::BIGINT AS parent FROM c UNION ALL SELECT commit, floor(commit * 0.7)::BIGINT - 1 FROM c WHERE commit % 3 = 0) WHERE parent >= 1 AND parent < commit AND parent IN (SELECT commit FROM c)), "
+    "p AS (SELECT DISTINCT commit, parent FROM (SELECT commit, commit * 8 // 10 AS parent FROM c UNION ALL SELECT commit, commit * 7 // 10 - 1 FROM c WHERE commit % 3 = 0) WHERE parent >= 1 AND parent < commit AND parent IN (SELECT commit FROM c)), "
     "t AS (SELECT commit AS pair, commit AS tip FROM c WHERE commit % 10 = 0 AND commit > 0 UNION ALL SELECT commit, commit - 1 FROM c WHERE commit % 10 = 0 AND commit > 0), "
     "w AS (SELECT pair, tip, tip AS commit FROM t UNION SELECT pair, tip, parent FROM w JOIN p USING (commit)), m AS (SELECT pair, commit, max((tip = pair)::INT) AS b, max((tip < pair)::INT) AS a FROM w GROUP BY ALL) "
     "SELECT pair, count(*) FILTER (b = 1 AND a = 0) AS ahead, count(*) FILTER (a = 1 AND b = 0) AS behind, count(*) FILTER (a = 1 AND b = 0) = 0 AS a_in_b, count(*) FILTER (b = 1 AND a = 0) = 0 AS b_in_a FROM m GROUP BY pair"

@@ -156,8 +156,7 @@ def call_sites(spark: SparkSession, sf: str) -> DataFrame:
 def commit_parents(spark: SparkSession, sf: str) -> DataFrame:
     """(commit, parent): customers as commits; the parent of one is a supplier's share of it back, so histories branch, and every third has a second one: branches that merge."""
     c = table(spark, sf, "customer").select(F.col("c_custkey").cast("long").alias("commit"))
-    first = F.floor(F.col("commit") * 0.8).cast("long")
-    second = F.floor(F.col("commit") * 0.7).cast("long") - 1
+    first, second = F.expr("commit * 8 div 10"), F.expr("commit * 7 div 10 - 1")
     both = c.select("commit", first.alias("parent")).unionByName(c.where("commit % 3 = 0").select("commit", second.alias("parent")))
     return both.where("parent >= 1 and parent < commit").join(c.withColumnRenamed("commit", "parent"), "parent", "left_semi").distinct()
 
