@@ -35,8 +35,9 @@ from .common import LOWER, add_columns, broadcast_if_small, components, free_nam
 #: Fingerprints that the cost model looks at. In the search within ``max_distance`` it steers the work alone; in the wide search, which meets a pair with
 #: a chance of ``RECALL`` or more, also which of the pairs are the ones that aren't met.
 SAMPLE = 2000
-#: Open pairs of a node that a bucket hands on in the first round after the forests; four times as many in each further one.
-NEAREST = 8
+#: Open pairs of a node that a bucket hands on in the first round after the forests; sixteen times as many in each further one, so that
+#: the third has all of a pair of blocks.
+NEAREST = 16
 #: Members of one bucket that a task compares at once; larger buckets are dealt out in pairs of blocks.
 BLOCK = 2048
 #: Pairs whose fingerprints a task compares at once.
@@ -426,7 +427,8 @@ def settled_links(docs: DataFrame, nodes: DataFrame, who: DataFrame, parts: list
     most = NEAREST
     while True:
         # nodes that near pairs connect and links don't
-        grouped = near.join(components(links), "node", "left").select("node", "near", F.coalesce("root", "node").alias("group"))
+        held = links.join(near.select(F.col("node").alias("a")), "a", "left_semi")
+        grouped = near.join(components(held), "node", "left").select("node", "near", F.coalesce("root", "node").alias("group"))
         split = grouped.groupBy("near").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("near")
         near = materialize(near.join(split, "near", "left_semi"))
         if near.isEmpty():
@@ -441,7 +443,7 @@ def settled_links(docs: DataFrame, nodes: DataFrame, who: DataFrame, parts: list
             links = materialize(links.unionByName(verified(fresh, sets, similarity, n)))
         if not more:
             return links
-        most *= 4
+        most *= 16
 
 
 def hot_nodes(pairs: DataFrame, side: str, n: int, share: float = 1 / 500) -> list:
