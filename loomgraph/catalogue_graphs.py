@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomgraph.catalogue import query
-from loomgraph.operators import calls, commits, graphs, interfaces, texts, walks
+from loomgraph.operators import calls, checkpoints, commits, graphs, interfaces, texts, walks
 from loomgraph.plans import bindings as B
 
 #: Who imports whom; customers and suppliers of one number are one unit.
@@ -103,3 +103,22 @@ def http_calls(spark, sf):
     r = pages.groupBy(F.col("t").alias("template")).agg(F.min("consumer").alias("route"))
     routes = r.select("route", F.concat(F.lit("f"), (F.col("route") % 50).cast("string")).alias("path"), F.when(F.col("route") % 3 == 0, "*").when(F.col("route") % 3 == 1, "GET").otherwise("POST").alias("method"), "template", F.col("route").alias("place"))
     return interfaces.route_calls(pages, routes)
+
+
+@query(
+    "WITH c AS (SELECT o_custkey::BIGINT AS session, o_orderkey::BIGINT AS n, coalesce(o_orderstatus = 'F', false) AS auto FROM orders), "
+    "o AS (SELECT *, count(*) OVER (PARTITION BY session) - 8 AS over, max(n) OVER (PARTITION BY session) AS last FROM c), "
+    "d AS (SELECT session, n FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY auto DESC, n) AS k FROM o WHERE over > 0 AND n < last) WHERE k <= over), "
+    "k AS (SELECT c.* FROM c LEFT JOIN d ON d.session = c.session AND d.n = c.n WHERE d.n IS NULL), "
+    "t AS (SELECT d.session, d.n, min(k.n) AS target FROM d JOIN k ON k.session = d.session AND k.n > d.n GROUP BY ALL) "
+    "SELECT k.session, k.n, k.auto, (SELECT count(*) FROM t WHERE t.session = k.session AND t.target = k.n) AS merged FROM k"
+)
+def pruned_checkpoints(spark, sf):
+    """Each session's checkpoints but for all over eight, and how many each took in."""
+    return checkpoints.pruned(*B.session_checkpoints(spark, sf), 8)[0]
+
+
+@query(None)
+def pruned_changes(spark, sf):
+    """The changes of the checkpoints that stay, with those of dropped ones folded in."""
+    return checkpoints.pruned(*B.session_checkpoints(spark, sf), 8)[1]

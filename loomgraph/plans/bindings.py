@@ -174,3 +174,12 @@ def router_tables(spark: SparkSession, sf: str) -> list[DataFrame]:
     place = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     mounts = li.crossJoin(F.broadcast(n)).select(name("l_suppkey").alias("router"), place.alias("place"), owner.alias("owner"), F.concat(F.lit("/"), F.lower("l_returnflag")).alias("prefix"))
     return [routers, mounts]
+
+
+def session_checkpoints(spark: SparkSession, sf: str) -> list[DataFrame]:
+    """Checkpoints (session, n, auto) and changes (session, n, path, status, added, removed): a customer's orders, in order of number, change what their lines deliver."""
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").cast("long").alias("session"), F.col("o_orderkey").cast("long").alias("n"), F.col("o_orderstatus").eqNullSafe("F").alias("auto"))
+    li = table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("long").alias("n"), (F.col("l_suppkey") % 5).cast("string").alias("path"), "l_returnflag", F.col("l_quantity").cast("long").alias("q"), F.col("l_linenumber").cast("long").alias("line"))
+    status = F.when(F.max("l_returnflag") == "R", "removed").when(F.max("l_returnflag") == "N", "added").otherwise("modified")
+    changes = li.groupBy("n", "path").agg(status.alias("status"), F.sum("q").alias("added"), F.sum("line").alias("removed"))
+    return [orders, orders.select("session", "n").join(changes, "n")]
