@@ -24,6 +24,11 @@ PAIR_LINES, PAIR_AHEAD, PAIR_RATIO, NEXT_RATIO = 60, 6, 0.5, 0.6
 # fixed values of moved blocks: least lines, least share of equal lines, candidates of a run, changed lines of a wave that are searched
 LEAST_LINES, LEAST_SHARE, CANDIDATES, WAVE_LINES = 3, 0.75, 4, 5000
 
+#: Files that go to Python at once: a batch of whole texts stays some megabytes.
+BATCH_ROWS = 1000
+#: Files whose lines are Python objects at once.
+SLICE_ROWS = 32
+
 _INT, _TEXT = T.IntegerType(), T.StringType()
 
 
@@ -34,6 +39,15 @@ def _fields(**types: T.DataType) -> list[T.StructField]:
 LINE = _fields(hunk=_INT, at=_INT, sign=_TEXT, old_no=_INT, new_no=_INT, text=_TEXT)
 
 
+def _map_files(df: DataFrame, run, schema: T.StructType) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in batches of at most ``BATCH_ROWS`` files, which the session's conf says from then on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def _aligned(before: str, after: str, context: int) -> Iterator[tuple]:
     old, new = before.splitlines(), after.splitlines()
     matcher = SequenceMatcher(None, old, new, autojunk=len(old) + len(new) > LONG_LINES)
@@ -71,7 +85,7 @@ def hunk_lines(versions: DataFrame, context: int = CONTEXT) -> DataFrame:
                     lines = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string()])]
                     yield pa.RecordBatch.from_arrays([*[pa.array(v * len(rows), batch.schema.field(c).type) for c, v in keys.items()], *lines], names=schema.names)
 
-    return changed.mapInArrow(run, schema)
+    return _map_files(changed, run, schema)
 
 
 def hunks(lines: DataFrame) -> DataFrame:
@@ -119,10 +133,12 @@ def patched(versions: DataFrame, lines: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            got = [apply(b, c) for b, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(got, pa.list_(pa.string()))], names=schema.names)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                got = [apply(b, c) for b, c in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(got, pa.list_(pa.string()))], names=schema.names)
 
-    return both.mapInArrow(run, schema)
+    return _map_files(both, run, schema)
 
 
 def norm(text: Column) -> Column:

@@ -212,3 +212,14 @@ def test_fixture_queries(spark, sf):
     for m in marks:
         line = text[m.path, m.sign][m.number - 1]
         assert m.space_only or all(0 <= int(a) < int(b) <= len(line) for a, b in (x.split("-") for x in m.marks.split(",") if x))
+
+
+def test_few_files_at_once_in_python(spark):
+    """Batches of files are bounded, whatever a partition holds."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    files = spark.range(2500).selectExpr("0L AS wave", "id AS path", "concat('a', char(10), id) AS before", "concat(id, char(10), 'b') AS after").coalesce(1)
+    lines = linediff.hunk_lines(files, context=0)
+    assert int(spark.conf.get(key)) <= linediff.BATCH_ROWS
+    out = linediff.patched(files, lines).collect()
+    assert len(out) == 2500 and all(r.lines == [str(r.path), "b"] for r in out)
