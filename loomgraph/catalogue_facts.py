@@ -19,12 +19,12 @@ CALLS = (
 )
 
 
-def _calls(spark, sf):
+def _calls(spark, sf, *by):
     li = B.table(spark, sf, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("dst"), F.col("l_returnflag").alias("rel"), (F.col("l_linestatus") == "O").alias("t"))
     orders = B.table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("src"))
     e = li.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("src", "dst", "rel", "t")
     # one pass: whether an edge was there before and is there now
-    return e.groupBy("src", "dst", "rel").agg(F.max((~F.col("t")).cast("int")).alias("b"), F.max(F.col("t").cast("int")).alias("a"))
+    return e.groupBy(*(by or ("src", "dst", "rel"))).agg(F.max((~F.col("t")).cast("int")).alias("b"), F.max(F.col("t").cast("int")).alias("a"))
 
 
 def _sides(spark, sf):
@@ -100,8 +100,8 @@ def stale_callers(spark, sf):
 
 @query(f"WITH {CALLS}, b AS (SELECT DISTINCT src, dst FROM base), a AS (SELECT DISTINCT src, dst FROM target) SELECT src, dst, 'added' AS change FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT src, dst, 'removed' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
 def env_reads_changed(spark, sf):
-    e = _calls(spark, sf)
-    return facts.set_changes(e.where("b = 1").select("src", "dst").distinct(), e.where("a = 1").select("src", "dst").distinct(), "src", "dst")
+    # sides are marks already, so each row goes on once, and just those of edges go
+    return facts.set_changes_of_marks(_calls(spark, sf, "src", "dst"), "src", "dst")
 
 
 @query(

@@ -95,8 +95,12 @@ def near_neighbours(edges: DataFrame, top: int = 25) -> DataFrame:
 def set_changes(before: DataFrame, after: DataFrame, key: str, name: str) -> DataFrame:
     """(key, name, change): names that a key has gained (added) or lost (removed); one row for each."""
     marks = before.select(key, name, F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select(key, name, F.lit(0).alias("b"), F.lit(1).alias("a")))
-    side = marks.groupBy(key, name).agg(F.max("b").alias("b"), F.max("a").alias("a")).where("a <> b")
-    return side.select(key, name, F.when(F.col("a") == 1, "added").otherwise("removed").alias("change"))
+    return set_changes_of_marks(marks.groupBy(key, name).agg(F.max("b").alias("b"), F.max("a").alias("a")), key, name)
+
+
+def set_changes_of_marks(marks: DataFrame, key: str, name: str) -> DataFrame:
+    """``set_changes`` of ``marks (key, name, b, a)``, one row for each pair: whether it stood before (1 or 0), and after."""
+    return marks.where("a <> b").select(key, name, F.when(F.col("a") == 1, "added").otherwise("removed").alias("change"))
 
 
 def health_badges(rows: DataFrame, top: int = 10, fan_in: int = 20) -> DataFrame:

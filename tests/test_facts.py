@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from loomgraph import catalogue
 from loomgraph.functions import labels as L
 from loomgraph.operators import facts, texts
 
@@ -124,3 +125,9 @@ def test_loops_are_told(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(23)], "src long, dst long")
     got = graphs.reachable(chain, spark.createDataFrame([(0,)], "start long"))
     assert {r.node: r.distance for r in got.collect()} == {i: i for i in range(24)}
+
+
+def test_env_reads_go_through_one_aggregate(spark, sf):
+    """Both sides are told in one pass over the edges: no second aggregate over the union of two readings."""
+    plan = catalogue.QUERIES["env_reads_changed"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Aggregate") == 1
