@@ -56,6 +56,33 @@ def test_more_roots_than_the_limit(spark):
     assert walks.walks(edges.limit(0), edges.selectExpr("src as start", "dst as node").limit(0), 3)[1].count() == 0
 
 
+@pytest.mark.parametrize("seed,limit,ahead", [(1, 5000, 3), (2, 12, 1), (3, 30, 8)])
+def test_walks_take_the_first_of_their_queue(spark, seed, limit, ahead):
+    pairs, roots = random_graph(seed, 25)
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    nodes, sizes = walks.walks(spark.createDataFrame(list(pairs), "src long, dst long"), spark.createDataFrame(list(roots), "start long, node long"), limit, ahead)
+    got = {}
+    for r in nodes.collect():
+        got.setdefault(r.start, {})[r.place] = r.node
+    want = {s: plain_walk(out, {n for t, n in roots if t == s}, limit) for s, _ in roots}
+    assert {s: [g[k] for k in sorted(g)] for s, g in got.items()} == {s: w for s, (w, _) in want.items()}
+    assert {(r.start, r.n, r.complete) for r in sizes.collect()} == {(s, len(w), c) for s, (w, c) in want.items()}
+
+
+def test_a_walk_follows_no_more_edges_than_it_has_room_for(spark, monkeypatch):
+    """40 nodes in line, of 40 neighbours each: 9 places are filled by the first of them, the others' edges are left alone."""
+    pairs = [(0, k) for k in range(1, 41)] + [(k, 100 * k + j) for k in range(1, 41) for j in range(40)]
+    written = []
+    keep = walks.cut
+    monkeypatch.setattr(walks, "cut", lambda df: written.append(keep(df)) or written[-1])
+    nodes, sizes = walks.walks(spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(1, 0)], "start long, node long"), 50)
+    assert sizes.first().asDict() == {"start": 1, "n": 50, "complete": False} and nodes.count() == 50
+    followed = [df.where("now").join(spark.createDataFrame(pairs, "node long, dst long"), "node").count() for df in written if "now" in df.columns]
+    assert 0 < sum(followed) <= 40 + 2 * 50 + 40
+
+
 @pytest.mark.parametrize("total", [1000, 40, 12, 1])
 def test_total_is_used_up_in_order(spark, total):
     pairs, roots = random_graph(5)
