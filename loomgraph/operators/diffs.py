@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,11 +10,30 @@ def compare(base: DataFrame, target: DataFrame, keys: list[str], values: list[st
     """Full outer join on ``keys``: status added, removed, modified or unchanged, and the values before and after."""
     b = base.select(*keys, *[F.col(v).alias(f"{v}_before") for v in values], F.lit(True).alias("__b"))
     t = target.select(*keys, *[F.col(v).alias(f"{v}_after") for v in values], F.lit(True).alias("__t"))
+    return b.join(t, keys, "full_outer").withColumn("status", _status(values, F.col("__b").isNotNull(), F.col("__t").isNotNull())).drop("__b", "__t")
+
+
+def _status(values: list[str], before: Column, after: Column) -> Column:
     same = F.lit(True)
     for v in values:
         same = same & F.col(f"{v}_before").eqNullSafe(F.col(f"{v}_after"))
-    status = F.when(F.col("__b").isNull(), "added").when(F.col("__t").isNull(), "removed").when(same, "unchanged").otherwise("modified")
-    return b.join(t, keys, "full_outer").withColumn("status", status).drop("__b", "__t")
+    return F.when(~before, "added").when(~after, "removed").when(same, "unchanged").otherwise("modified")
+
+
+def compare_sides(both: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """``compare`` of two snapshots that are one row for each key already: ``both`` (keys…, v_before, v_after…, in_before, in_after), without a join.
+
+    Keys that hold a null equal none, as in a join: such a row is two, one removed and one added.
+    """
+    unequal = F.lit(False)
+    for k in keys:
+        unequal = unequal | F.col(k).isNull()
+    def row(before: Column, after: Column) -> Column:
+        own = [F.when(held, F.col(f"{v}_{side}")).alias(f"{v}_{side}") for side, held in (("before", before), ("after", after)) for v in values]
+        return F.struct(*keys, *own, _status(values, before, after).alias("status"))
+
+    b, t = F.col("in_before"), F.col("in_after")
+    return both.select(F.inline(F.when(unequal & b & t, F.array(row(b, ~b), row(~t, t))).otherwise(F.array(row(b, t)))))
 
 
 def summary(changes: DataFrame, by: str) -> DataFrame:
