@@ -26,3 +26,19 @@ def test_importers_from_outside(spark, tmp_path):
     assert {tuple(r) for r in df.collect()} == {("n2", 1, 0), ("r1", 1, 0), ("root", 2, 0), ("n0", 1, 2), ("r0", 1, 1)}
     # a row for each pair and container, once for each of two counts, was what took the memory
     assert "Expand" not in plan(df)
+
+
+def test_ranges_are_dealt_by_key(spark, tmp_path, monkeypatch):
+    r = random.Random(4)
+    rows = [(r.choice([1, 2, 3, 4, None]), datetime(1992, 1, 1) + timedelta(days=r.randrange(40)), float(r.randrange(4))) for _ in range(120)]
+    spark.createDataFrame(rows, "l_partkey long, l_shipdate timestamp, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(graphs, "ROWS_A_TASK", 10)
+    df = catalogue.QUERIES["line_symbol_range_join"](spark, str(tmp_path))
+    ranges = {(k, (t - datetime(1992, 1, 1)).days, (t - datetime(1992, 1, 1)).days + 10 * int(q)) for k, t, q in rows if k is not None}
+    want = set()
+    for k, line in {(k, first + 7) for k, first, _ in ranges}:
+        held = [(last - first, first, last) for key, first, last in ranges if key == k and first <= line <= last]
+        if held:
+            want.add((k, line, *min(held)[1:]))
+    assert {tuple(x) for x in df.collect()} == want
+    assert "RepartitionByExpression" in plan(df) and df.rdd.getNumPartitions() == 12
