@@ -80,3 +80,15 @@ def test_similar_files_count_every_line(spark):
     want = {(a, b, len(sets[a] & sets[b])) for a, _ in old for b, _ in new if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.5 * max(len(sets[a]), len(sets[b]))}
     got = [tuple(x) for x in reviews.similar_files(*[spark.createDataFrame(f, "path long, text string") for f in (old, new)]).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) > 65 * 65
+
+
+def test_rules_find_the_same_with_what_they_need(spark):
+    from loomgraph import catalogue  # noqa: F401 (it imports the others in their order)
+    from loomgraph import catalogue_reviews as cr
+
+    lines = ["a.b@c-d.org", "no sign", "@", "x@y", "é" * 499, "é" * 500, "😀" * 499, "😀" * 500, "a" * 499 + "\r", "a" * 500 + "\r", "TODO me@here.de", "", "a" * 250 + "\r" + "a" * 260]
+    files = spark.createDataFrame([(k, "\n".join(lines[k:])) for k in range(len(lines))] + [(99, None)], "path long, text string")
+    got, want = (sorted(map(tuple, reviews.line_rules(files, cr.RULES, ["path"], needs).collect())) for needs in (cr.NEEDS, None))
+    assert got == want and {r[2] for r in got} >= {"email", "long line", "unfinished"}
+    plan = reviews.line_rules(files, cr.RULES, ["path"], cr.NEEDS)._jdf.queryExecution().analyzed().toString()
+    assert "Contains" in plan or "contains" in plan.lower()
