@@ -41,7 +41,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, packing.tokenizer_path())
+    # the workers of the stages before wait beside those that pack, so these take less at once
+    return packing.pack(docs, packing.tokenizer_path(), at_once=packing.SLICE // 8)
 
 
 STAGES = [

@@ -167,51 +167,55 @@ def decompose(counts: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]
     return doc, length
 
 
-def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """(start, number) of runs of texts of at most twice ``SLICE`` bytes together; a longer text is a run by itself."""
+def slices(texts: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """(start, number) of runs of texts of at most twice ``size`` bytes together; a longer text is a run by itself."""
     upto = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(upto):
         before = upto[at - 1] if at else 0
-        end = max(at + 1, int(np.searchsorted(upto, before + 2 * SLICE, side="right")))
+        end = max(at + 1, int(np.searchsorted(upto, before + 2 * size, side="right")))
         yield at, end - at
         at = end
 
 
-def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1, at_once: int = SLICE) -> DataFrame:
     """(doc_id, start, length, tokens, doc_tokens, sequence_id, offset, bucket) of each piece.
 
     ``tokens`` are the ids as little-endian unsigned 32-bit integers. A null or
     empty text is the single end id. Rows that repeat a doc_id are packed each
     for itself. ``longest`` must be a power of two. A sequence is one piece, so
     ``offset`` is 0; ``sequence_id`` is unique and its upper byte is the bucket,
-    the binary logarithm of the length.
+    the binary logarithm of the length. ``at_once``: bytes of text that a task
+    cuts into words together; fewer take less memory and more time.
     """
     if longest < 2 or longest & (longest - 1):
         raise ValueError("longest must be a power of two above 1")
     source = docs.select("doc_id", text_of().alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
 
+    def cut_up(words: WordCache, part: pa.RecordBatch) -> pa.RecordBatch:
+        ids, counts = words.encode_all(part.column(1))
+        # the end id after each text
+        ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4", copy=False)
+        counts = counts + 1
+        doc, length = decompose(counts, longest)
+        upto = np.concatenate(([0], np.cumsum(length)))
+        begin = np.cumsum(counts) - counts
+        # the pieces lie one after another in the ids
+        tokens = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(4 * upto), pa.py_buffer(ids)]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays(
+            [part.column(0).take(pa.array(doc)), pa.array(upto[:-1] - begin[doc]), pa.array(length), tokens, pa.array(counts[doc])],
+            names=["doc_id", "start", "length", "tokens", "doc_tokens"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = cache_of(tokenizer)
-        for batch in gathered(batches, lambda b: b.column(1).nbytes, SLICE):
-            for at, rows in slices(batch.column(1)):
-                part = batch.slice(at, rows)
-                ids, counts = words.encode_all(part.column(1))
-                # the end id after each text
-                ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
-                counts = counts + 1
-                doc, length = decompose(counts, longest)
-                upto = np.concatenate(([0], np.cumsum(length)))
-                begin = np.cumsum(counts) - counts
-                # the pieces lie one after another in the ids
-                tokens = pa.Array.from_buffers(pa.large_binary(), len(doc), [None, pa.py_buffer(4 * upto), pa.py_buffer(ids)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(doc)), pa.array(upto[:-1] - begin[doc]), pa.array(length), tokens, pa.array(counts[doc])],
-                    names=["doc_id", "start", "length", "tokens", "doc_tokens"],
-                )
-            # Arrow keeps what its functions have freed
-            pa.default_memory_pool().release_unused()
+        for batch in gathered(batches, lambda b: b.column(1).nbytes, at_once):
+            for at, rows in slices(batch.column(1), at_once):
+                # nothing of a run is held while the next one is encoded
+                yield cut_up(words, batch.slice(at, rows))
+                # Arrow keeps what its functions have freed
+                pa.default_memory_pool().release_unused()
 
     pieces = map_batches(source, run, f"doc_id {kind}, start long, length long, tokens binary, doc_tokens long")
     bucket = F.log2("length").cast("int")
