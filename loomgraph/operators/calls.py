@@ -62,7 +62,7 @@ class Scopes:
         """
         spark_none = named.select("module", F.col("cls").alias("at")).limit(0)
         self.bases = cut(spark_none.withColumn("bases", F.array(F.struct(F.lit(0).alias("place"), F.lit("").alias("module"), F.lit("").alias("qual")))))
-        refs = cut(named.select("module", "parts").distinct().withColumn("ref", F.md5(F.to_json(F.struct("module", "parts")))))
+        refs = _numbered(named.select("module", "parts").distinct())
         before = None
         for _ in range(MAX_DEPTH):
             found = self.follow(_start(refs, "use", 0)).where("kind = 'class'").select("ref", F.col("module").alias("of"), "qual")
@@ -102,29 +102,46 @@ class Scopes:
         return met.select(F.inline(F.coalesce(next_, nothing)))
 
     def follow(self, states: DataFrame) -> DataFrame:
-        """(ref, module, qual, kind) that the ``states`` of each ref arrive at first, in the order of ranks; no row where none arrives."""
-        best = F.min(F.when(F.col("op") == "is", F.col("rank"))).over(Window.partitionBy("ref"))
+        """(ref, module, qual, kind) that the ``states`` of each ref arrive at first, in the order of ranks; no row where none arrives.
+
+        A ref that has no row on its way any more is done: its ends aren't sent through
+        later rounds, and its earlier states are left out whenever half of what was on its way is done.
+        """
+        by_ref = Window.partitionBy("ref")
+        best = F.min(F.when(F.col("op") == "is", F.col("rank"))).over(by_ref)
 
         def arrived(rows: DataFrame) -> DataFrame:
-            """Rows that arrive are ended; none behind a ref's first end stays."""
+            """Rows that arrive are ended; none behind a ref's first end stays. ``open``: whether a row of the ref is on its way."""
             there = (F.col("op") == "in") & (F.size("parts") == 0)
             kept = rows.select(*_state(op=F.when(there, "is").otherwise(F.col("op")))).withColumn("best", best)
-            return kept.where(F.col("best").isNull() | (F.col("rank") < F.col("best")) | ((F.col("op") == "is") & (F.col("rank") == F.col("best")))).drop("best")
+            kept = kept.where(F.col("best").isNull() | (F.col("rank") < F.col("best")) | ((F.col("op") == "is") & (F.col("rank") == F.col("best")))).drop("best")
+            return kept.withColumn("open", F.max(F.col("op") != "is").over(by_ref))
 
         # a row in the state of an earlier one, no less deep and with no smaller rank, comes to nothing that the earlier one doesn't come to before
         keys = ["ref", "op", "module", "qual", "parts"]
         same = reduce(lambda a, b: a & b, [F.col(f"new.{k}").eqNullSafe(F.col(f"old.{k}")) for k in keys])
         same &= (F.col("new.depth") >= F.col("old.depth")) & (F.col("new.rank") >= F.col("old.rank"))
-        front, seen = cut(arrived(states.select(*_STATE))), []
+        front, seen, done, most = cut(arrived(states.select(*_STATE))), [], [], 0
         while True:
-            ends, moving = front.where("op = 'is'"), front.where("op <> 'is'")
-            if moving.isEmpty():
-                return ends.select("ref", "module", "qual", "kind").distinct()
-            seen = [cut(together([*seen, moving]))] if len(seen) == 10 else [*seen, moving]
+            done.append(front.where("not open").select("ref", "module", "qual", "kind"))
+            ends, moving = [front.where("open").where(c).drop("open") for c in ("op = 'is'", "op <> 'is'")]
+            n = moving.count()
+            if not n:
+                return together(done).distinct()
+            seen.append(moving)
+            if len(seen) > 10 or 2 * n < most:
+                seen = [cut(together(seen).join(moving.select("ref").distinct(), "ref", "left_semi").select(*_STATE))]
+                most = n
+            most = max(n, most)
             first = self.step(moving).groupBy(*[c for c in _STATE if c != "rank"]).agg(F.min("rank").alias("rank")).select(*_STATE)
             front = cut(arrived(first.alias("new").join(together(seen).alias("old"), same, "left_anti").unionByName(ends)))
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Distinct ``rows`` with a number ``ref`` of their own, written at once: every round sends a reference's rows, so its name is to be short."""
+    return cut(rows.withColumn("ref", F.monotonically_increasing_id()))
+
+
 def _start(rows: DataFrame, op: str, choice: int, **columns) -> DataFrame:
     none = F.lit(None).cast("string")
     base = {"rank": F.array(F.lit(choice)), "op": F.lit(op), "qual": none, "kind": none, "depth": F.lit(0)}
@@ -139,11 +156,11 @@ def callees(calls: DataFrame, scopes: Scopes) -> DataFrame:
     inside, then in the module, its imports and its star imports. A class
     stands for its ``__init__`` or ``constructor``, if it or a base has one.
     """
-    own = calls.withColumn("head", _head()).where(F.col("head").isNotNull())
+    own = cut(calls.withColumn("head", _head()).where(F.col("head").isNotNull()))
     one = F.col("cls").isNotNull() & (F.size("parts") == 2)
     how = F.when(F.col("head").isin("self", "cls") & one, "self").when((F.col("head") == "super()") & one, "super").otherwise("name")
     # calls of one name from one place are one reference
-    refs = cut(own.withColumn("how", how).groupBy("module", "caller", "cls", "parts", "head", "how").agg(F.count(F.lit(1)).alias("calls")).withColumn("ref", F.md5(F.to_json(F.struct("module", "caller", "cls", "parts")))))
+    refs = _numbered(own.withColumn("how", how).select("module", "caller", "cls", "parts", "head", "how").distinct())
     at_self, at_super, at_name = [refs.where(F.col("how") == h) for h in ("self", "super", "name")]
     member = F.get("parts", F.lit(1))
     selfs = _start(at_self, "of", 0, qual=F.col("cls"), kind=F.lit("class"), parts=F.array(member))
