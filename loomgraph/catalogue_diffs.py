@@ -35,7 +35,7 @@ def line_hunks(spark, sf):
 @query(None)
 def replaced_line_marks(spark, sf):
     """Changed words of lines replaced in place, and lines that differ in white space alone, apart from moved blocks."""
-    runs = graphs.cut(linediff.changed_runs(linediff.hunk_lines(B.versions(spark, sf))))
+    runs = graphs.cut(linediff.file_runs(B.versions(spark, sf)))
     marks = linediff.line_marks(runs, linediff.moved_blocks(runs))
     text = F.array_join(F.transform("marks", lambda m: F.concat_ws("-", m["first"].cast("string"), m["last"].cast("string"))), ",")
     return marks.select("wave", "path", "sign", "number", "space_only", text.alias("marks"))
@@ -43,7 +43,7 @@ def replaced_line_marks(spark, sf):
 
 @query(None)
 def moved_line_blocks(spark, sf):
-    runs = graphs.cut(linediff.changed_runs(linediff.hunk_lines(B.versions(spark, sf))))
+    runs = graphs.cut(linediff.file_runs(B.versions(spark, sf)))
     return linediff.moved_blocks(runs).withColumn("residual", F.to_json("residual"))
 
 

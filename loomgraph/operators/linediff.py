@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomgraph.functions.marks import MAX_CHARS, SPANS, TOKEN, marks_of
+from loomgraph.operators.graphs import cut
 
 # fixed values: versions of more lines together let the alignment pass over lines that are everywhere; lines around changes
 LONG_LINES, CONTEXT = 20_000, 3
@@ -160,6 +162,36 @@ def changed_runs(lines: DataFrame) -> DataFrame:
     return by.select("wave", "path", "hunk", "start", "sign", "first_no", texts.alias("texts"), F.transform(texts, norm).alias("norms"))
 
 
+def file_runs(versions: DataFrame, context: int = CONTEXT) -> DataFrame:
+    """``changed_runs(hunk_lines(versions, context))`` but for ``norms``, read off file by file: no line is sent to meet the others of its run."""
+    kept = versions.select("wave", "path").schema
+    schema = T.StructType([*kept.fields, *_fields(hunk=_INT, start=_INT, sign=_TEXT, first_no=_INT, texts=T.ArrayType(_TEXT))])
+    changed = versions.where(~F.col("before").eqNullSafe(F.col("after"))).select("wave", "path", F.coalesce("before", F.lit("")).alias("before"), F.coalesce("after", F.lit("")).alias("after"))
+    kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.list_(pa.string())]
+
+    def runs_of(before: str, after: str) -> Iterator[tuple]:
+        for (hunk, sign), lines in groupby(_aligned(before, after, context), key=lambda x: (x[0], x[2])):
+            if sign != " ":
+                rows = list(lines)
+                yield hunk, rows[0][1], sign, rows[0][3] or rows[0][4], [x[5] for x in rows]
+
+    def run(batches):
+        for batch in batches:
+            before, after = batch.column(2), batch.column(3)
+            for k in range(batch.num_rows):
+                rows = list(runs_of(before[k].as_py(), after[k].as_py()))
+                if rows:
+                    keys = batch.slice(k, 1).select([0, 1]).to_pydict()
+                    columns = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+                    yield pa.RecordBatch.from_arrays([*[pa.array(v * len(rows), batch.schema.field(c).type) for c, v in keys.items()], *columns], names=schema.names)
+
+    return _map_files(changed, run, schema)
+
+
+def norms(texts: str) -> Column:
+    return F.transform(texts, norm)
+
+
 def similar_lines(old: list[str], new: list[str]) -> list[tuple[int, int, SequenceMatcher]]:
     """Places of old and new lines that are alike, in order.
 
@@ -206,12 +238,13 @@ def replaced_lines(runs: DataFrame) -> DataFrame:
     """(wave, path, hunk, old_no, new_no, space_only, old_marks, new_marks): similar lines of a removed run and the added run right behind it.
 
     ``space_only`` lines differ in white space alone and have no marks; marks
-    are null where the lines are mostly rewritten.
+    are null where the lines are mostly rewritten. Only the lines that are looked at are sent.
     """
-    removed = runs.where("sign = '-'").select("wave", "path", "hunk", (F.col("start") + F.size("texts")).alias("next"), F.col("first_no").alias("old_first"), F.col("texts").alias("old"), F.col("norms").alias("old_norms"))
-    added = runs.where("sign = '+'").select("wave", "path", "hunk", F.col("start").alias("next"), F.col("first_no").alias("new_first"), F.col("texts").alias("new"), F.col("norms").alias("new_norms"))
+    few = F.slice("texts", 1, PAIR_LINES)
+    removed = runs.where("sign = '-'").select("wave", "path", "hunk", (F.col("start") + F.size("texts")).alias("next"), F.col("first_no").alias("old_first"), few.alias("old"))
+    added = runs.where("sign = '+'").select("wave", "path", "hunk", F.col("start").alias("next"), F.col("first_no").alias("new_first"), few.alias("new"))
     both = removed.join(added, ["wave", "path", "hunk", "next"]).withColumn("pair", F.explode(_pairs("old", "new")))
-    space = F.get("old_norms", F.col("pair.old")) == F.get("new_norms", F.col("pair.new"))
+    space = norm(F.get("old", F.col("pair.old"))) == norm(F.get("new", F.col("pair.new")))
     marks = lambda side: F.when(~space, F.col(f"pair.{side}"))
     return both.select(
         "wave", "path", "hunk", (F.col("old_first") + F.col("pair.old")).alias("old_no"), (F.col("new_first") + F.col("pair.new")).alias("new_no"), space.alias("space_only"), marks("old_marks").alias("old_marks"), marks("new_marks").alias("new_marks")
@@ -298,38 +331,43 @@ def moved_blocks(runs: DataFrame, wave_lines: int = WAVE_LINES) -> DataFrame:
     that differ within a block. A wave of more than ``wave_lines`` changed
     lines isn't searched, which also bounds what one wave's choice takes.
     """
-    by_wave = runs.groupBy("wave").agg(F.sum(F.size("texts")).alias("n")).where(F.col("n") <= wave_lines).select("wave")
+    # written, so it is known to be small enough to be sent to the runs, or not
+    by_wave = cut(runs.groupBy("wave").agg(F.sum(F.size("texts")).alias("n")).where(F.col("n") <= wave_lines).select("wave"))
     searched = runs.join(by_wave, "wave", "left_semi").where(F.size("texts") >= LEAST_LINES)
     key = F.struct("path", "hunk", "start")
-    removed = searched.where("sign = '-'").select("wave", key.alias("removed"), F.col("first_no").alias("old_first_no"), F.col("texts").alias("old"), F.col("norms").alias("old_norms"))
-    added = searched.where("sign = '+'").select("wave", key.alias("added"), F.col("first_no").alias("new_first_no"), F.col("texts").alias("new"), F.col("norms").alias("new_norms"))
-    voting = lambda c: F.explode(F.array_distinct(F.filter(c, lambda x: (F.length(x) >= 3) & x.rlike(r"(?U)\w")))).alias("line")
-    votes = removed.select("wave", "removed", voting("old_norms")).join(added.select("wave", "added", voting("new_norms")), ["wave", "line"]).groupBy("wave", "removed", "added").agg(F.count(F.lit(1)).alias("votes"))
+    removed = searched.where("sign = '-'").select("wave", key.alias("removed"), F.col("first_no").alias("old_first_no"), F.col("texts").alias("old"))
+    added = searched.where("sign = '+'").select("wave", key.alias("added"), F.col("first_no").alias("new_first_no"), F.col("texts").alias("new"))
+    # lines vote by their hashes; what they vote for is laid beside by its texts
+    voting = lambda c: F.explode(F.array_distinct(F.transform(F.filter(norms(c), lambda x: (F.length(x) >= 3) & x.rlike(r"(?U)\w")), lambda x: F.xxhash64(x)))).alias("line")
+    votes = removed.select("wave", "removed", voting("old")).join(added.select("wave", "added", voting("new")), ["wave", "line"]).groupBy("wave", "removed", "added").agg(F.count(F.lit(1)).alias("votes"))
     place = F.row_number().over(Window.partitionBy("wave", "removed").orderBy(F.desc("votes"), "added"))
-    best = votes.where(F.col("votes") >= LEAST_LINES).withColumn("place", place).where(F.col("place") <= CANDIDATES)
+    best = cut(votes.where(F.col("votes") >= LEAST_LINES).withColumn("place", place).where(F.col("place") <= CANDIDATES))
     beside = best.join(removed, ["wave", "removed"]).join(added, ["wave", "added"])
     in_place = (F.col("removed.path") == F.col("added.path")) & (F.col("removed.hunk") == F.col("added.hunk")) & (F.col("added.start") == F.col("removed.start") + F.size("old"))
-    laid = beside.where(~in_place).withColumn("s", _stretch("old_norms", "new_norms")).where("s.equal is not null")
-    order = F.row_number().over(Window.partitionBy("wave").orderBy(F.desc(F.size("old")), "removed", "place")).cast("int")
+    number = lambda r: F.when(r["sign"] == "-", F.col("old_first_no") + r["place"]).otherwise(F.col("new_first_no") + r["place"])
+    text = lambda r: F.when(r["sign"] == "-", F.get("old", r["place"])).otherwise(F.get("new", r["place"]))
+    residual = F.transform("s.residual", lambda r: F.struct(r["sign"].alias("sign"), number(r).alias("number"), text(r).alias("text")))
+    laid = beside.where(~in_place).withColumn("s", _stretch(norms("old"), norms("new"))).where("s.equal is not null")
+    # of the texts only residuals go on
+    laid = cut(laid.select("wave", "removed", "added", "place", F.size("old").alias("size"), "old_first_no", "new_first_no", "s.equal", "s.a", "s.a_end", "s.b", "s.b_end", "s.changed", residual.alias("residual")))
+    order = F.row_number().over(Window.partitionBy("wave").orderBy(F.desc("size"), "removed", "place")).cast("int")
     ranked = laid.select("*", order.alias("rank"))
     wave_type = runs.schema["wave"].dataType.simpleString()
     # runs as numbers, so that a wave's choice takes narrow rows
-    narrow = ranked.select("wave", "rank", F.dense_rank().over(Window.partitionBy("wave").orderBy("removed")).alias("removed"), F.dense_rank().over(Window.partitionBy("wave").orderBy("added")).alias("added"), "s.a", "s.a_end", "s.b", "s.b_end")
+    narrow = ranked.select("wave", "rank", F.dense_rank().over(Window.partitionBy("wave").orderBy("removed")).alias("removed"), F.dense_rank().over(Window.partitionBy("wave").orderBy("added")).alias("added"), "a", "a_end", "b", "b_end")
     taken = narrow.groupBy("wave").applyInArrow(_taken, f"wave {wave_type}, rank int")
     got = ranked.join(taken, ["wave", "rank"])
-    number = lambda r: F.when(r["sign"] == "-", F.col("old_first_no") + r["place"]).otherwise(F.col("new_first_no") + r["place"])
-    text = lambda r: F.when(r["sign"] == "-", F.get("old", r["place"])).otherwise(F.get("new", r["place"]))
     return got.select(
         "wave",
         F.col("removed.path").alias("old_path"),
-        (F.col("old_first_no") + F.col("s.a")).alias("old_first"),
-        (F.col("old_first_no") + F.col("s.a_end") - 1).alias("old_last"),
+        (F.col("old_first_no") + F.col("a")).alias("old_first"),
+        (F.col("old_first_no") + F.col("a_end") - 1).alias("old_last"),
         F.col("added.path").alias("new_path"),
-        (F.col("new_first_no") + F.col("s.b")).alias("new_first"),
-        (F.col("new_first_no") + F.col("s.b_end") - 1).alias("new_last"),
-        F.col("s.equal").alias("equal"),
-        F.col("s.changed").alias("changed"),
-        F.transform("s.residual", lambda r: F.struct(r["sign"].alias("sign"), number(r).alias("number"), text(r).alias("text"))).alias("residual"),
+        (F.col("new_first_no") + F.col("b")).alias("new_first"),
+        (F.col("new_first_no") + F.col("b_end") - 1).alias("new_last"),
+        "equal",
+        "changed",
+        "residual",
     )
 
 
@@ -345,6 +383,6 @@ def line_marks(runs: DataFrame, moved: DataFrame) -> DataFrame:
         pairs = pairs.join(inside.where(F.col("sign") == sign).select("wave", "path", F.col("number").alias(f"{side}_no")), ["wave", "path", f"{side}_no"], "left_anti")
     ends = lambda side, sign: F.struct(F.lit(sign).alias("sign"), F.col(f"{side}_no").alias("number"), F.col(f"{side}_marks").alias("marks"))
     both = pairs.select("wave", "path", "space_only", F.inline(F.array(ends("old", "-"), ends("new", "+")))).where("space_only or size(marks) > 0")
-    blank = runs.select("wave", "path", "sign", "first_no", F.posexplode("norms").alias("at", "norm")).where("norm = ''")
+    blank = runs.select("wave", "path", "sign", "first_no", F.posexplode(norms("texts")).alias("at", "norm")).where("norm = ''")
     blank = blank.select("wave", "path", F.lit(True).alias("space_only"), "sign", (F.col("first_no") + F.col("at")).alias("number"), F.lit(None).cast(SPANS).alias("marks"))
     return both.unionByName(blank).dropDuplicates(["wave", "path", "sign", "number"]).select("wave", "path", "sign", "number", "space_only", "marks")

@@ -223,3 +223,31 @@ def test_few_files_at_once_in_python(spark):
     assert int(spark.conf.get(key)) <= linediff.BATCH_ROWS
     out = linediff.patched(files, lines).collect()
     assert len(out) == 2500 and all(r.lines == [str(r.path), "b"] for r in out)
+
+
+@pytest.mark.parametrize("context", [0, 3])
+def test_runs_read_off_file_by_file(versions, context):
+    """The same runs as by lines, without sending a line; lines of moves are sent as votes and texts of candidates alone."""
+    by_file = linediff.file_runs(versions, context)
+    by_line = linediff.changed_runs(linediff.hunk_lines(versions, context)).drop("norms")
+    assert sorted(by_file.collect(), key=repr) == sorted(by_line.collect(), key=repr)
+    assert by_file.schema.simpleString() == by_line.schema.simpleString()
+    assert "Exchange" not in by_file._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_send_less_than_their_texts(spark, sf, monkeypatch):
+    """What the queries write between their steps: runs without a second copy of their texts, and no text of a block but its residual."""
+    from loomgraph import catalogue
+    from loomgraph.operators import graphs
+
+    written, plain = [], graphs.cut
+
+    def kept(df):
+        written.append(df.columns)
+        return plain(df)
+
+    monkeypatch.setattr(graphs, "cut", kept)
+    monkeypatch.setattr(linediff, "cut", kept)
+    assert catalogue.QUERIES["moved_line_blocks"](spark, sf).count() > 0
+    assert "texts" in written[0] and "norms" not in written[0]
+    assert not any({"texts", "old", "new"} & set(c) for c in written[1:]) and "residual" in written[-1]
