@@ -33,6 +33,26 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)])
 
 
+#: Pairs of names that a task compares: their few bytes would leave all to a handful of tasks.
+PAIRS_A_TASK = 20_000
+
+
+@F.pandas_udf(T.DoubleType())
+def _ratio_from(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """``name_ratio`` where it is ``least`` or more, else null. difflib's bounds by length and letters come first, and what it keeps of a second name serves all its pairs."""
+    out, by = [None] * len(a), {}
+    for k, y in enumerate(b):
+        by.setdefault(y, []).append(k)
+    m = SequenceMatcher()
+    for y, places in by.items():
+        m.set_seq2(y.lower())
+        for k in places:
+            m.set_seq1(a[k].lower())
+            if m.real_quick_ratio() >= least[k] and m.quick_ratio() >= least[k] and (ratio := m.ratio()) >= least[k]:
+                out[k] = ratio
+    return pd.Series(out, dtype="float64")
+
+
 def _letters(name: Column) -> Column:
     """The letters of a name, each with how many of its kind came before it, the rarest first."""
     chars = F.split(F.lower(name), "")
@@ -56,7 +76,10 @@ def alike_names(old: DataFrame, new: DataFrame, keys: list[str], least: float =
 
     near = 2 * F.least("old_size", "new_size") >= least * (F.col("old_size") + F.col("new_size")) - 1e-9
     met = prefixes(old, "old").join(prefixes(new, "new"), [*keys, "letter"]).where(near).select("old", "new", "old_name", "new_name").distinct()
-    return met.withColumn("ratio", name_ratio("old_name", "new_name")).where(F.col("ratio") >= least).select("old", "new", "ratio")
+    met = cut(met)
+    met = met.repartition(max(1, -(-met.count() // PAIRS_A_TASK)), "new")
+    # not deterministic, or the filter on it would be computed a first time before pairs are dealt
+    return met.withColumn("ratio", _ratio_from.asNondeterministic()("old_name", "new_name", F.lit(least))).where("ratio is not null").select("old", "new", "ratio")
 
 
 def in_order(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
