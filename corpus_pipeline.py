@@ -15,12 +15,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import decontamination, packing, simhash, substrings, toxicity
-from loomgraph.llm.common import shared_dir, table
+from loomgraph.llm.common import hand_back, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled rows outside the held-out third; keeps rows below the threshold."""
     model = toxicity.fit(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    hand_back()  # what training held stays in the driver else
     # columns of the input by the names of the model's are put aside
     own = {c: f"__own_{c}" for c in docs.columns if c in ("score", "predicted")}
     scored = toxicity.score_documents(docs.withColumnsRenamed(own), model)

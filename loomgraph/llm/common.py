@@ -18,6 +18,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -174,30 +175,66 @@ def hot_lookup(big: DataFrame, small: DataFrame, key: str, n_big: int, share: fl
     return warm.unionByName(cold)
 
 
+#: Edges that a task of ``contracted`` holds at once.
+STARS = 1 << 17
+
+
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the connected components of the edges (u, v), root the smallest node; roots have no row of their own."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            break
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root != root[root]).any():
+            root = root[root]
+    child = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[child], nodes[root[child]]
+
+
+def contracted(edges: DataFrame, each: int) -> DataFrame:
+    """Fewer edges (u, v), u > v, with the components of ``edges``: stars of every ``each`` edges of a task, without a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, lambda b: b.num_rows, each):
+            node, root = stars(*(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], names=["u", "v"])
+
+    return map_batches(edges, run, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links (a, b)`` as ``(node, root)``, root the smallest node; nodes without links aren't listed.
 
-    Alternates large-star and small-star steps on tables in the shared folder;
+    Tasks make stars of the edges they hold. Where stars of several tasks share nodes,
+    large-star and small-star steps alternate on tables in the shared folder;
     a step is an aggregate with partial sums and a lookup join that is safe
     against hot nodes, so a component of any size spreads over all tasks.
     """
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    n = edges.count()
-    before = None
-    while n:
+    edges = materialize(contracted(links.where("a <> b").select(F.col("a").cast("long").alias("u"), F.col("b").cast("long").alias("v")), STARS))
+    while True:
+        # a task for as many edges as it holds at once, whatever the number of files
+        edges = materialize(contracted(edges.coalesce(edges.count() // STARS + 1), STARS))
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"), F.count(F.lit(1)).alias("n")))
+        n, tied = least.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.expr("m < u and most > m"), 1))).first()
+        # in a forest of stars a node above its smallest neighbour has no other
+        if not tied:
+            return least.select(F.col("u").alias("node"), F.least("u", "m").alias("root"))
         # large star: neighbours above a node are tied to the smallest of its neighbourhood
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = hot_lookup(both, least, "u", 2 * n, how="inner").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large)
+        large = hot_lookup(both, least.select("u", F.least("u", "m").alias("m")), "u", n, how="inner", hot=frequent(least, n)).where("v > u")
+        large = materialize(large.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # small star: a node and its smaller neighbours are tied to the smallest of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = hot_lookup(large, least, "u", n, how="inner").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        n, mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
-        # a forest of stars stays as it is under both steps
-        if mark == before:
-            break
-        before = mark
-    roots = edges.select(F.col("v").alias("node")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")))
+        small = hot_lookup(large, least.select("u", "m"), "u", n, how="inner", hot=frequent(least, n)).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = materialize(contracted(small.unionByName(least.select("u", F.col("m").alias("v"))), STARS))
+
+
+def frequent(counts: DataFrame, total: int, share: float = 1 / 2000) -> list:
+    """The hot keys of ``hot_lookup`` by ``counts (u, n)`` of ``total`` rows."""
+    return [r[0] for r in counts.where(F.col("n") > max(64, int(total * share))).select("u").collect()]

@@ -428,12 +428,13 @@ def settled_links(docs: DataFrame, nodes: DataFrame, who: DataFrame, parts: list
     while True:
         # nodes that near pairs connect and links don't
         held = links.join(near.select(F.col("node").alias("a")), "a", "left_semi")
-        grouped = near.join(components(held), "node", "left").select("node", "near", F.coalesce("root", "node").alias("group"))
+        grouped = materialize(near.join(components(held), "node", "left").select("node", "near", F.coalesce("root", "node").alias("group")))
         split = grouped.groupBy("near").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("near")
-        near = materialize(near.join(split, "near", "left_semi"))
+        near = materialize(grouped.join(split, "near", "left_semi"))
         if near.isEmpty():
             return links
-        open_ = materialize(nodes.join(grouped.join(split, "near", "left_semi").select("node", "group"), "node"))
+        open_ = materialize(nodes.join(near.select("node", "group"), "node"))
+        near = near.select("node", "near")
         met = materialize(links_within(open_, parts, max_distance, lanes, most))
         more = not met.where("a is null").isEmpty()
         fresh = materialize(met.where("a is not null").join(tried, ["a", "b"], "left_anti"))
@@ -486,9 +487,9 @@ def near_copies(docs: DataFrame, words_each: int = 5, similarity: float = 0.8, l
     links = settled_links(docs, nodes, who, plan_wide(sample, n, similarity, lanes), max_distance, lanes, words_each, similarity)
     rooted = materialize(least.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node")))
     kept = rooted.groupBy("root").agg(F.min("least").alias("kept"))
-    by_node = hot_lookup(rooted.select("node", "root"), kept, "root", rooted.count()).select("node", "kept")
-    each = prints.groupBy("node", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    fate = hot_lookup(each, by_node, "node", prints.count()).withColumn("stays", key.eqNullSafe(F.col("kept")))
+    by_node = materialize(hot_lookup(rooted.select("node", "root"), materialize(kept), "root", rooted.count()).select("node", "kept"))
+    each = materialize(prints.groupBy("node", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")))
+    fate = hot_lookup(each, by_node, "node", each.count()).withColumn("stays", key.eqNullSafe(F.col("kept")))
     return materialize(fate.where("n > 1 or not stays").select("doc_id", "text_hash", "n", "stays"))
 
 
