@@ -121,3 +121,22 @@ def test_reached_names(spark, sf):
         seen, complete = plain_walk(out, {s}, walks.WALK_NODES)
         own = sorted({names[x] for x in seen if x in names})
         assert (rows[s].n, rows[s].complete, rows[s].tests, rows[s].first_tests) == (len(seen), complete, sum(x in names for x in seen), ", ".join(own[:3]))
+
+
+def test_walks_write_few_rows(spark, monkeypatch):
+    """A node's neighbours, and what a walk finds in a round, are a row each, not a row for each node."""
+    written, keep = [], walks.cut
+    monkeypatch.setattr(walks, "cut", lambda df: written.append(keep(df)) or written[-1])
+    edges = spark.range(40_000).selectExpr("cast(id % 40 as string) AS src", "concat('n', id div 40) AS dst")
+    roots = spark.range(40).selectExpr("id AS start", "cast(id as string) AS node")
+    nodes, sizes = walks.walks(edges, roots)
+    assert sum(df.count() for df in written) < 500 and nodes.count() == 40 * 1001
+    assert {(r.n, r.complete) for r in sizes.collect()} == {(1001, True)}
+    assert [r.node for r in nodes.where("start = 7").orderBy("place").collect()] == ["7", *sorted(f"n{k}" for k in range(1000))]
+
+
+def test_packed_nodes():
+    low, high = -(2**63), 2**63 - 1
+    for values in ([], [0], [5, 5, 6, 900, 70_000], [low, high, 0, -1, high, low], list(range(-300, 300))):
+        assert walks._unpack(walks._pack(walks.np.array(values, "int64"), True), True).tolist() == values
+    assert len(walks._pack(walks.np.arange(10**6, 10**6 + 600), True)) < 600 * 3 + 20
