@@ -23,8 +23,8 @@ from loomgraph.operators.graphs import cut
 LONG_LINES, CONTEXT = 20_000, 3
 # fixed values of similar lines: old and new lines of a run that are looked at, how far ahead, the least ratio, the ratio that the next line needs
 PAIR_LINES, PAIR_AHEAD, PAIR_RATIO, NEXT_RATIO = 60, 6, 0.5, 0.6
-# fixed values of moved blocks: least lines, least share of equal lines, candidates of a run, changed lines of a wave that are searched
-LEAST_LINES, LEAST_SHARE, CANDIDATES, WAVE_LINES = 3, 0.75, 4, 5000
+# fixed values of moved blocks: least lines, least share of equal lines
+LEAST_LINES, LEAST_SHARE = 3, 0.75
 
 #: Files that go to Python at once: a batch of whole texts stays some megabytes.
 BATCH_ROWS = 1000
@@ -306,34 +306,39 @@ def _stretch(old: pd.Series, new: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=STRETCH.names)
 
 
-def _taken(t: pa.Table) -> pa.Table:
-    """The candidates of one wave, in order, whose lines no earlier one has taken."""
-    rows = sorted(t.to_pylist(), key=lambda r: r["rank"])
-    used: set[tuple] = set()
-    keep = []
-    for r in rows:
-        own = {("-", r["removed"], x) for x in range(r["a"], r["a_end"])} | {("+", r["added"], x) for x in range(r["b"], r["b_end"])}
-        if not own & used:
-            used |= own
-            keep.append(r["rank"])
-    return pa.table({"wave": pa.array([rows[0]["wave"]] * len(keep), t.schema.field("wave").type), "rank": pa.array(keep, pa.int32())})
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The candidates, wave by wave and in order, whose lines no earlier one has taken; of a wave a bit for each line of its runs is held."""
+    wave, used = None, {}
+    for batch in batches:
+        keep = []
+        for k, r in enumerate(batch.to_pylist()):
+            if r["wave"] != wave:
+                wave, used = r["wave"], {}
+            own = [(("-", r["removed"]), r["a"], r["a_end"]), (("+", r["added"]), r["b"], r["b_end"])]
+            bits = [(run, ((1 << (end - first)) - 1) << first) for run, first, end in own]
+            if not any(used.get(run, 0) & b for run, b in bits):
+                used |= {run: used.get(run, 0) | b for run, b in bits}
+                keep.append(k)
+        yield batch.select(["wave", "rank"]).take(pa.array(keep, pa.int64()))
 
 
-def moved_blocks(runs: DataFrame, wave_lines: int = WAVE_LINES) -> DataFrame:
+def moved_blocks(runs: DataFrame, wave_lines: int | None = None) -> DataFrame:
     """(wave, old_path, old_first, old_last, new_path, new_first, new_last, equal, changed, residual): removed blocks that come back as added ones, in any file of the wave.
 
     A removed run votes for added runs by its distinct lines (those of three
-    characters or more and one letter, digit or underscore); the four with the
-    most votes, three or more, are laid beside it. Long runs choose first (ties:
+    characters or more and one letter, digit or underscore); all that have
+    three votes or more are laid beside it, the most first. Long runs choose first (ties:
     by path, hunk and place), each candidate only if none of its lines is taken.
     An added run right behind the removed one is an edit in place. Lines are
     numbers, ends included; ``residual`` has the (sign, number, text) of lines
-    that differ within a block. A wave of more than ``wave_lines`` changed
-    lines isn't searched, which also bounds what one wave's choice takes.
+    that differ within a block. Every wave is searched, unless ``wave_lines`` is given: then those of
+    at most so many changed lines. A wave's choice reads its candidates in order, and holds a bit for each line.
     """
-    # written, so it is known to be small enough to be sent to the runs, or not
-    by_wave = cut(runs.groupBy("wave").agg(F.sum(F.size("texts")).alias("n")).where(F.col("n") <= wave_lines).select("wave"))
-    searched = runs.join(by_wave, "wave", "left_semi").where(F.size("texts") >= LEAST_LINES)
+    if wave_lines is not None:
+        # written, so it is known to be small enough to be sent to the runs, or not
+        by_wave = cut(runs.groupBy("wave").agg(F.sum(F.size("texts")).alias("n")).where(F.col("n") <= wave_lines).select("wave"))
+        runs = runs.join(by_wave, "wave", "left_semi")
+    searched = runs.where(F.size("texts") >= LEAST_LINES)
     key = F.struct("path", "hunk", "start")
     removed = searched.where("sign = '-'").select("wave", key.alias("removed"), F.col("first_no").alias("old_first_no"), F.col("texts").alias("old"))
     added = searched.where("sign = '+'").select("wave", key.alias("added"), F.col("first_no").alias("new_first_no"), F.col("texts").alias("new"))
@@ -341,7 +346,7 @@ def moved_blocks(runs: DataFrame, wave_lines: int = WAVE_LINES) -> DataFrame:
     voting = lambda c: F.explode(F.array_distinct(F.transform(F.filter(norms(c), lambda x: (F.length(x) >= 3) & x.rlike(r"(?U)\w")), lambda x: F.xxhash64(x)))).alias("line")
     votes = removed.select("wave", "removed", voting("old")).join(added.select("wave", "added", voting("new")), ["wave", "line"]).groupBy("wave", "removed", "added").agg(F.count(F.lit(1)).alias("votes"))
     place = F.row_number().over(Window.partitionBy("wave", "removed").orderBy(F.desc("votes"), "added"))
-    best = cut(votes.where(F.col("votes") >= LEAST_LINES).withColumn("place", place).where(F.col("place") <= CANDIDATES))
+    best = cut(votes.where(F.col("votes") >= LEAST_LINES).withColumn("place", place))
     beside = best.join(removed, ["wave", "removed"]).join(added, ["wave", "added"])
     in_place = (F.col("removed.path") == F.col("added.path")) & (F.col("removed.hunk") == F.col("added.hunk")) & (F.col("added.start") == F.col("removed.start") + F.size("old"))
     number = lambda r: F.when(r["sign"] == "-", F.col("old_first_no") + r["place"]).otherwise(F.col("new_first_no") + r["place"])
@@ -355,7 +360,7 @@ def moved_blocks(runs: DataFrame, wave_lines: int = WAVE_LINES) -> DataFrame:
     wave_type = runs.schema["wave"].dataType.simpleString()
     # runs as numbers, so that a wave's choice takes narrow rows
     narrow = ranked.select("wave", "rank", F.dense_rank().over(Window.partitionBy("wave").orderBy("removed")).alias("removed"), F.dense_rank().over(Window.partitionBy("wave").orderBy("added")).alias("added"), "a", "a_end", "b", "b_end")
-    taken = narrow.groupBy("wave").applyInArrow(_taken, f"wave {wave_type}, rank int")
+    taken = narrow.repartition("wave").sortWithinPartitions("wave", "rank").mapInArrow(_taken, f"wave {wave_type}, rank int")
     got = ranked.join(taken, ["wave", "rank"])
     return got.select(
         "wave",

@@ -251,3 +251,19 @@ def test_queries_send_less_than_their_texts(spark, sf, monkeypatch):
     assert catalogue.QUERIES["moved_line_blocks"](spark, sf).count() > 0
     assert "texts" in written[0] and "norms" not in written[0]
     assert not any({"texts", "old", "new"} & set(c) for c in written[1:]) and "residual" in written[-1]
+
+
+def test_fifth_candidate_is_laid_beside(spark, versions):
+    """Four files hold all lines, backwards, so they have more votes and no block; the fifth holds half of them in order."""
+    block = [f"line {w}" for w in WORDS[:10]]
+    files = [(1, "a.py", "\n".join([*block, "keep"]), "keep")] + [(1, f"f{k}.py", f"x{k}", "\n".join([f"x{k}", *block[::-1]])) for k in range(4)] + [(1, "g.py", "x", "\n".join(["x", *block[:5]]))]
+    moved = linediff.moved_blocks(linediff.file_runs(spark.createDataFrame(files, versions.schema))).collect()
+    assert [tuple(m)[:8] for m in moved] == [(1, "a.py", 1, 5, "g.py", 2, 6, 5)]
+
+
+def test_large_wave_is_searched(spark, versions):
+    block = [f"line {w}" for w in WORDS[:5]]
+    files = [(1, "a.py", "\n".join([*block, "keep"]), "keep"), (1, "b.py", "x", "\n".join(["x", *[f"new {k}" for k in range(5500)], *block]))]
+    runs = linediff.file_runs(spark.createDataFrame(files, versions.schema))
+    assert [tuple(m)[:8] for m in linediff.moved_blocks(runs).collect()] == [(1, "a.py", 1, 5, "b.py", 5502, 5506, 5)]
+    assert linediff.moved_blocks(runs, wave_lines=5000).count() == 0
