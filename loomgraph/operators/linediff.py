@@ -21,7 +21,7 @@ from loomgraph.operators.graphs import cut
 
 # fixed values: versions of more lines together let the alignment pass over lines that are everywhere; lines around changes
 LONG_LINES, CONTEXT = 20_000, 3
-# fixed values of similar lines: old and new lines of a run that are looked at, how far ahead, the least ratio, the ratio that the next line needs
+# fixed values of similar lines: old and new lines of a run that are looked at if not all are, how far ahead, the least ratio, the ratio that the next line needs
 PAIR_LINES, PAIR_AHEAD, PAIR_RATIO, NEXT_RATIO = 60, 6, 0.5, 0.6
 # fixed values of moved blocks: least lines, least share of equal lines
 LEAST_LINES, LEAST_SHARE = 3, 0.75
@@ -192,13 +192,14 @@ def norms(texts: str) -> Column:
     return F.transform(texts, norm)
 
 
-def similar_lines(old: list[str], new: list[str]) -> list[tuple[int, int, SequenceMatcher]]:
+def similar_lines(old: list[str], new: list[str], most: int | None = PAIR_LINES) -> list[tuple[int, int, SequenceMatcher]]:
     """Places of old and new lines that are alike, in order.
 
     Each old line takes the most alike of the next few new ones behind the last
     taken, the next one at once if it is alike enough; long lines take none.
+    Of each side the first ``most`` lines are looked at, or all.
     """
-    old, new = old[:PAIR_LINES], new[:PAIR_LINES]
+    old, new = old[:most], new[:most]
     words = [TOKEN.findall(x) if len(x) <= MAX_CHARS else [] for x in new]
     out: list[tuple[int, int, SequenceMatcher]] = []
     behind = 0
@@ -229,7 +230,7 @@ def _pairs(old: pd.Series, new: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(old, new):
         a, b = list(a), list(b)
-        pairs = [(i, j, marks_of(m) if len(a[i]) <= MAX_CHARS and len(b[j]) <= MAX_CHARS else None) for i, j, m in similar_lines(a, b)]
+        pairs = [(i, j, marks_of(m) if len(a[i]) <= MAX_CHARS and len(b[j]) <= MAX_CHARS else None) for i, j, m in similar_lines(a, b, None)]
         out.append([{"old": i, "new": j, "old_marks": spans(f, 0), "new_marks": spans(f, 1)} for i, j, f in pairs])
     return pd.Series(out)
 
@@ -238,11 +239,10 @@ def replaced_lines(runs: DataFrame) -> DataFrame:
     """(wave, path, hunk, old_no, new_no, space_only, old_marks, new_marks): similar lines of a removed run and the added run right behind it.
 
     ``space_only`` lines differ in white space alone and have no marks; marks
-    are null where the lines are mostly rewritten. Only the lines that are looked at are sent.
+    are null where the lines are mostly rewritten. All lines of a run are looked at.
     """
-    few = F.slice("texts", 1, PAIR_LINES)
-    removed = runs.where("sign = '-'").select("wave", "path", "hunk", (F.col("start") + F.size("texts")).alias("next"), F.col("first_no").alias("old_first"), few.alias("old"))
-    added = runs.where("sign = '+'").select("wave", "path", "hunk", F.col("start").alias("next"), F.col("first_no").alias("new_first"), few.alias("new"))
+    removed = runs.where("sign = '-'").select("wave", "path", "hunk", (F.col("start") + F.size("texts")).alias("next"), F.col("first_no").alias("old_first"), F.col("texts").alias("old"))
+    added = runs.where("sign = '+'").select("wave", "path", "hunk", F.col("start").alias("next"), F.col("first_no").alias("new_first"), F.col("texts").alias("new"))
     both = removed.join(added, ["wave", "path", "hunk", "next"]).withColumn("pair", F.explode(_pairs("old", "new")))
     space = norm(F.get("old", F.col("pair.old"))) == norm(F.get("new", F.col("pair.new")))
     marks = lambda side: F.when(~space, F.col(f"pair.{side}"))

@@ -267,3 +267,12 @@ def test_large_wave_is_searched(spark, versions):
     runs = linediff.file_runs(spark.createDataFrame(files, versions.schema))
     assert [tuple(m)[:8] for m in linediff.moved_blocks(runs).collect()] == [(1, "a.py", 1, 5, "b.py", 5502, 5506, 5)]
     assert linediff.moved_blocks(runs, wave_lines=5000).count() == 0
+
+
+def test_all_lines_of_a_long_run_are_marked(spark, versions):
+    """Moved blocks leave their lines, in a large wave too; the others are paired to a run's end."""
+    files = [(1, "a.py", "\n".join(f"value{k} = old" for k in range(90)), "\n".join(f"value{k} = new" for k in range(90)))]
+    runs = linediff.file_runs(spark.createDataFrame(files, versions.schema))
+    marks = linediff.line_marks(runs, linediff.moved_blocks(runs)).collect()
+    assert {(m.sign, m.number) for m in marks} == {(s, k) for s in "-+" for k in range(1, 91)}
+    assert all(not m.space_only and len(m.marks) == 1 for m in marks)
